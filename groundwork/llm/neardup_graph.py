@@ -56,10 +56,14 @@ def build(x: np.ndarray, degree: int = 16, pool: int = 48, alpha: float = 1.2, s
 def range_search(x: np.ndarray, near: list[np.ndarray] | np.ndarray, bound: float, beam: int = 12, block: int = 512):
     """(row, found row) for pairs within the bound that greedy search from the medoid and the row itself reaches."""
     n = len(x)
-    width = max((len(v) for v in near), default=0) + 1
-    table = np.full((n, width), -1, np.int64)
-    for i, v in enumerate(near):
-        table[i, : len(v)] = v
+    # every edge is taken both ways: pruning leaves only the way to the hub of close copies
+    tail = np.repeat(np.arange(n), [len(v) for v in near])
+    head = np.concatenate(near).astype(np.int64) if len(tail) else tail
+    both = np.unique(np.concatenate([tail * n + head, head * n + tail]))
+    tail, head = both // n, both % n
+    first = np.searchsorted(tail, np.arange(n + 1))
+    table = np.full((n, int(np.diff(first).max(initial=0)) + 1), -1, np.int64)
+    table[tail, np.arange(len(tail)) - first[tail]] = head
     medoid = int((x @ x.mean(0)).argmax())
     left, right = [], []
     for a in range(0, n, block):

@@ -96,7 +96,7 @@ class Model:
         worst = np.full(n, -1, np.int64)
         order = np.argsort(logits, kind="stable")
         worst[row[order]] = where[order] - first[row[order]]
-        return -np.expm1(keep), worst, total
+        return 0.0 - np.expm1(keep), worst, total
 
 
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, most: int = 4096, least: int = 3) -> Model:
