@@ -45,7 +45,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
     held = worker_cache("powers", lambda: [make(1 << 20)])
     if len(held[0][0]) <= n:
-        held[0] = make(max(n, 2 * len(held[0][0])))
+        held[0] = make(1 << int(n).bit_length())
     return held[0]
 
 
@@ -61,7 +61,7 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8)), places
 
 
-def pieces(places: np.ndarray, most: int = 4 << 20):
+def pieces(places: np.ndarray, most: int = 1 << 20):
     """Ranges of rows of about `most` bytes; a longer row stays whole."""
     i, n = 0, len(places) - 1
     while i < n:
@@ -129,24 +129,42 @@ class Words:
 
 
 def index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order, and each key's place among them, by hashing instead of sorting all keys."""
-    if not len(keys):
-        return keys, np.zeros(0, np.int64)
-    bits = max(8, int(len(keys)).bit_length() + 1)
+    """The distinct keys in order, and each key's place among them.
+
+    Keys that repeat much are hashed into a table that stays in the processor's cache; if they turn out too
+    many for it they are sorted.
+    """
+    if len(keys) < 4096:
+        return np.unique(keys, return_inverse=True)
+    bits = int(len(keys)).bit_length() - 2
     table = np.zeros(1 << bits, U)
     where = np.empty(len(keys), np.int64)
-    todo, k, h = np.arange(len(keys)), keys + U(1), mix(keys)
-    while len(todo):
+    todo, k, h = None, keys + U(1), mix(keys)
+    for _ in range(12):
         slot = (h >> U(64 - bits)).astype(np.int64)
-        free = table[slot] == 0
-        table[slot[free]] = k[free]
-        hit = table[slot] == k
-        where[todo[hit]] = slot[hit]
-        miss = ~hit
-        todo, k, h = todo[miss], k[miss], mix(h[miss] * U(_BASE) + U(1))
+        held = table[slot]
+        if todo is None or not held.all():
+            free = np.flatnonzero(held == 0)
+            table[slot[free]] = k[free]
+            held = table[slot]
+        hit = held == k
+        if todo is None:
+            where[:] = slot
+            todo = np.flatnonzero(~hit)
+            miss = todo
+        else:
+            done = np.flatnonzero(hit)
+            where[todo[done]] = slot[done]
+            miss = np.flatnonzero(~hit)
+            todo = todo[miss]
+        if not len(todo):
+            break
+        k, h = k[miss], mix(h[miss] * U(_BASE) + U(1))
+    else:
+        return np.unique(keys, return_inverse=True)
     used = np.flatnonzero(table)
     distinct = table[used] - U(1)
     order = np.argsort(distinct)
-    place = np.empty(1 << bits, np.int64)
+    place = np.empty(1 << bits, np.int32)
     place[used[order]] = np.arange(len(used))
     return distinct[order], place[where]

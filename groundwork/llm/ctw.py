@@ -56,27 +56,41 @@ def strings(out: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return key[np.arange(len(row)) - ahead[row] + begin[:-1][row] + DEPTH], row
 
 
-def _add(held, keys, counts):
-    """Merges sorted distinct keys with counts."""
-    if held is None:
-        return keys, counts
-    both, place = np.unique(np.concatenate([held[0], keys]), return_inverse=True)
-    return both, np.bincount(place, weights=np.concatenate([held[1], counts]), minlength=len(both))
+class Tally:
+    """Sums counts of keys; what has gathered is merged whenever it outgrows what is merged already."""
 
+    def __init__(self):
+        self.keys, self.counts, self.new, self.waiting = np.zeros(0, U), np.zeros(0), [], 0
 
-def gather(table: pa.Table, most: int = 4 << 20):
+    def add(self, keys, counts):
+        self.new.append((keys, counts))
+        self.waiting += len(keys)
+        if self.waiting > max(len(self.keys), 1 << 18):
+            self.merge()
+
+    def merge(self):
+        if self.new:
+            every = np.concatenate([self.keys, *(k for k, _ in self.new)])
+            counts = np.concatenate([self.counts, *(c for _, c in self.new)])
+            self.keys, place = np.unique(every, return_inverse=True)
+            self.counts = np.bincount(place, weights=counts, minlength=len(self.keys))
+            self.new, self.waiting = [], 0
+        return self.keys, self.counts
+
+
+def gather(table: pa.Table, most: int = 1 << 20):
     """A block's distinct strings and words with their counts in training texts."""
     data, places = flat(table["text"])
     train = ~np.asarray(table["held_out"]).astype(bool)
-    found, known = None, None
+    found, known = Tally(), Tally()
     for i, j in pieces(places, most):
         words = Words(data, places[i : j + 1])
         keys, row = strings(*canonical(words))
         distinct, place = index(keys)
-        found = _add(found, distinct, np.bincount(place[train[i:j][row]], minlength=len(distinct)).astype(float))
+        found.add(distinct, np.bincount(place, weights=train[i:j][row], minlength=len(distinct)))
         distinct, place = index(words.hashes())
-        known = _add(known, distinct, np.bincount(place[train[i:j][words.row]], minlength=len(distinct)).astype(float))
-    return found, known
+        known.add(distinct, np.bincount(place, weights=train[i:j][words.row], minlength=len(distinct)))
+    return found.merge(), known.merge()
 
 
 def _deal(found, known, buckets: int):
@@ -304,7 +318,7 @@ def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 1):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def score_corpus(docs: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+def score_corpus(docs: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per row of docs(doc_id, text): see _SCORED for the columns.
 
     Learns from rows that are not held out. Null or empty texts are one end; rows that repeat each get their own row

@@ -41,7 +41,7 @@ def _cut(buckets: int, width: int):
         for batch in batches:
             data, places = flat(batch.column(1))
             ids = batch.column(0)
-            for i, j in pieces(places, 8 << 20):
+            for i, j in pieces(places, 2 << 20):
                 values, first = Words(data, places[i : j + 1]).shingles(width)
                 sets = [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:])]
                 n = np.array([len(s) for s in sets], np.int64)
