@@ -136,7 +136,7 @@ def index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     if len(keys) < 4096:
         return np.unique(keys, return_inverse=True)
-    bits = int(len(keys)).bit_length() - 2
+    bits = int(len(keys)).bit_length() - (1 if len(keys) < 1 << 18 else 2)
     table = np.zeros(1 << bits, U)
     where = np.empty(len(keys), np.int64)
     todo, k, h = None, keys + U(1), mix(keys)
