@@ -108,6 +108,27 @@ def _deal(found, known, buckets: int):
                 yield b + offset, keys[own], counts[own]
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers as bytes; sorted keys go as differences."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def _unpacked(raw: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=U(0))
+
+
+def _keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(raw, U), dtype=U)
+
+
 _SENT = "bucket int, block int, keys binary, counts binary, texts long"
 
 
@@ -115,7 +136,7 @@ def _sender(buckets: int):
     def send(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         n = int((~np.asarray(table["held_out"]).astype(bool)).sum())
-        rows = [(b, block, k.tobytes(), c.astype(np.uint32).tobytes(), 0) for b, k, c in _deal(*gather(table), buckets)]
+        rows = [(b, block, _packed(_steps(k)), _packed(c.astype(np.uint32)), 0) for b, k, c in _deal(*gather(table), buckets)]
         rows.append((2 * buckets, block, b"", b"", n))
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["bucket", "block", "keys", "counts", "texts"])
@@ -207,8 +228,8 @@ class Subtrees:
 def _merge(table: pa.Table):
     """All blocks' keys of one bucket, their summed counts, and each block's places among them."""
     blocks = table["block"].to_pylist()
-    keys = [np.frombuffer(x, U) for x in table["keys"].to_pylist()]
-    counts = [np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()]
+    keys = [_keys(x) for x in table["keys"].to_pylist()]
+    counts = [_unpacked(x, np.uint32) for x in table["counts"].to_pylist()]
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct))
     cut = np.cumsum([0, *map(len, keys)])
@@ -262,9 +283,10 @@ def _answer(buckets: int, shallow):
             [
                 pa.array([bucket] * len(blocks), pa.int32()),
                 pa.array([b for b, _ in blocks], pa.int32()),
-                pa.array([values[p].tobytes() for _, p in blocks], pa.binary()),
+                table["keys"],
+                pa.array([_packed(values[p]) for _, p in blocks], pa.binary()),
             ],
-            names=["bucket", "block", "found"],
+            names=["bucket", "block", "keys", "found"],
         )
 
     return run
@@ -272,11 +294,10 @@ def _answer(buckets: int, shallow):
 
 def _scorer(buckets: int, tokens: float, distinct: float, texts_seen: float):
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
-        answers = dict(zip(found["bucket"].to_pylist(), found["found"].to_pylist()))
         held = {0: [[], []], 1: [[], []]}
-        for b, keys, _ in _deal(*gather(texts), buckets):
-            held[b >= buckets][0].append(keys)
-            held[b >= buckets][1].append(np.frombuffer(answers[b], np.float64 if b >= buckets else np.float32))
+        for b, keys, values in zip(found["bucket"].to_pylist(), found["keys"].to_pylist(), found["found"].to_pylist()):
+            held[b >= buckets][0].append(_keys(keys))
+            held[b >= buckets][1].append(_unpacked(values, np.float64 if b >= buckets else np.float32))
         lookup = {}
         for kind, (keys, values) in held.items():
             keys = np.concatenate(keys) if keys else np.zeros(0, U)
@@ -318,7 +339,7 @@ def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 1):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def score_corpus(docs: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
+def score_corpus(docs: DataFrame, block_bytes: int = 24 << 20) -> DataFrame:
     """One row per row of docs(doc_id, text): see _SCORED for the columns.
 
     Learns from rows that are not held out. Null or empty texts are one end; rows that repeat each get their own row
@@ -342,7 +363,7 @@ def score_corpus(docs: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
     shallow = shallow_tables(sums)
     found = (
         sent.where(F.col("bucket") < 2 * buckets).groupBy("bucket")
-        .applyInArrow(_answer(buckets, shallow), "bucket int, block int, found binary")
+        .applyInArrow(_answer(buckets, shallow), "bucket int, block int, keys binary, found binary")
     )
     return own.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         _scorer(buckets, tokens, distinct, texts), _SCORED
