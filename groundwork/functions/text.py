@@ -64,8 +64,8 @@ def tokenize_filtered(x: str, stopwords=STOPWORDS) -> str:
 def ngrams(tokens: str, n: int) -> str:
     """Contiguous n-grams joined by spaces."""
     return (
-        f"case when size({tokens}) >= {n} then transform(sequence(0, size({tokens}) - {n}), "
-        f"i -> array_join(slice({tokens}, i + 1, {n}), ' ')) else cast(array() as array<string>) end"
+        f"transform(array({tokens}), w -> case when size(w) >= {n} then transform(sequence(0, size(w) - {n}), "
+        f"i -> array_join(slice(w, i + 1, {n}), ' ')) else cast(array() as array<string>) end)[0]"
     )
 
 
