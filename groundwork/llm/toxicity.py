@@ -104,17 +104,19 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, most: int = 409
     data, places = flat(pa.array(texts, pa.large_string()))
     keys, docs, groups = [], [], []
     base = 0
-    for i, j in pieces(places, 1 << 20):
+    for i, j in pieces(places, 1 << 18):
         words = Words(data, places[i : j + 1])
         hashes, at = features(words)
         number = sentences(words)
-        pair = np.unique(np.stack([number[at].astype(U) + U(base), hashes]), axis=1) if len(at) else np.zeros((2, 0), U)
-        keys.append(pair[1])
-        groups.append(pair[0].astype(np.int64))
+        own, place = index(hashes)
+        pair = np.unique(number[at] * max(1, len(own)) + place)  # a feature counts once a sentence
+        keys.append(own[pair % max(1, len(own))])
+        groups.append(pair // max(1, len(own)) + base)
         of = np.zeros(int(number[-1]) + 1 if len(number) else 0, np.int64)
         of[number] = words.row + i
         docs.append(of)
         base += len(of)
+        del words, hashes, at, place, pair
     keys, group, of = np.concatenate(keys), np.concatenate(groups), np.concatenate(docs)
     distinct, place = np.unique(keys, return_inverse=True)
     doc_pair = np.unique(of[group] * len(distinct) + place)
@@ -152,7 +154,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, most: int = 409
     return Model(distinct[good], w, b)
 
 
-def training(docs: DataFrame, labels: DataFrame, sample: int = 3000, folds: int = 3, fold: int = 1) -> tuple[list[str], np.ndarray]:
+def training(docs: DataFrame, labels: DataFrame, sample: int = 1000, folds: int = 3, fold: int = 1) -> tuple[list[str], np.ndarray]:
     """At most `sample` rows of each label outside the held-out fold, by a hash of their id; texts come by one scan
     against that bounded set of ids."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
