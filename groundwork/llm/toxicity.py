@@ -102,25 +102,21 @@ class Model:
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, most: int = 4096, least: int = 3) -> Model:
     """Noisy-or maximum likelihood by Adam over the selected features; deterministic."""
     data, places = flat(pa.array(texts, pa.large_string()))
-    keys, docs, groups = [], [], []
-    base = 0
-    for i, j in pieces(places, 1 << 18):
+    parts = list(pieces(places, 1 << 18))
+    # document frequencies by label; a part's are merged at once, so memory follows the distinct features
+    known, df = np.zeros(0, U), np.zeros((2, 0))
+    for i, j in parts:
         words = Words(data, places[i : j + 1])
         hashes, at = features(words)
-        number = sentences(words)
         own, place = index(hashes)
-        pair = np.unique(number[at] * max(1, len(own)) + place)  # a feature counts once a sentence
-        keys.append(own[pair % max(1, len(own))])
-        groups.append(pair // max(1, len(own)) + base)
-        of = np.zeros(int(number[-1]) + 1 if len(number) else 0, np.int64)
-        of[number] = words.row + i
-        docs.append(of)
-        base += len(of)
-        del words, hashes, at, place, pair
-    keys, group, of = np.concatenate(keys), np.concatenate(groups), np.concatenate(docs)
-    distinct, place = np.unique(keys, return_inverse=True)
-    doc_pair = np.unique(of[group] * len(distinct) + place)
-    df = [np.bincount((doc_pair % len(distinct))[labels[doc_pair // len(distinct)] == y], minlength=len(distinct)) for y in (0, 1)]
+        pair = np.unique((words.row[at] + i) * max(1, len(own)) + place)
+        y = labels[pair // max(1, len(own))]
+        both, to = np.unique(np.concatenate([known, own]), return_inverse=True)
+        fresh = np.zeros((2, len(both)))
+        fresh[:, to[: len(known)]] = df
+        for label in (0, 1):
+            fresh[label, to[len(known) :]] += np.bincount((pair % max(1, len(own)))[y == label], minlength=len(own))
+        known, df = both, fresh
     n = [max(1, int((labels == y).sum())) for y in (0, 1)]
     rate = (df[0] + df[1] + 1) / (n[0] + n[1] + 2)
     z = (df[1] / n[1] - df[0] / n[0]) / np.sqrt(rate * (1 - rate) * (1 / n[0] + 1 / n[1]))
@@ -129,12 +125,26 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, most: int = 409
     good = np.sort(good[np.argsort(-z[good], kind="stable")[:most]])
     if not len(good):
         return Model(np.zeros(0, U), np.zeros(0), -12.0)
-    slot = np.full(len(distinct), -1)
-    slot[good] = np.arange(len(good))
-    use = np.flatnonzero(slot[place] >= 0)
-    feature, sentence = slot[place[use]], group[use]
-    live, sentence = np.unique(sentence, return_inverse=True)
-    doc = of[live]
+    chosen = known[good]
+    del known, df, rate, z, odds
+    feature, sentence, doc = [], [], []
+    base = 0
+    for i, j in parts:
+        words = Words(data, places[i : j + 1])
+        hashes, at = features(words)
+        where = np.minimum(np.searchsorted(chosen, hashes), len(chosen) - 1)
+        hit = np.flatnonzero(chosen[where] == hashes)
+        number = sentences(words)
+        pair = np.unique(number[at[hit]] * len(chosen) + where[hit])  # a feature counts once a sentence
+        live, place = np.unique(pair // len(chosen), return_inverse=True)
+        of = np.zeros(int(number[-1]) + 1 if len(number) else 0, np.int64)
+        of[number] = words.row + i
+        feature.append(pair % len(chosen))
+        sentence.append(place + base)
+        doc.append(of[live])
+        base += len(live)
+    feature, sentence, doc = np.concatenate(feature), np.concatenate(sentence), np.concatenate(doc)
+    live = doc
     w, b = np.full(len(good), 0.5), -3.0
     m, v = np.zeros(len(good) + 1), np.zeros(len(good) + 1)
     weight = np.where(labels == 1, 0.5 / n[1], 0.5 / n[0])
@@ -151,7 +161,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, most: int = 409
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    return Model(distinct[good], w, b)
+    return Model(chosen, w, b)
 
 
 def training(docs: DataFrame, labels: DataFrame, sample: int = 1000, folds: int = 3, fold: int = 1) -> tuple[list[str], np.ndarray]:
