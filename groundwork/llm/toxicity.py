@@ -101,7 +101,7 @@ class Model:
 
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, most: int = 4096, least: int = 3) -> Model:
     """Noisy-or maximum likelihood by Adam over the selected features; deterministic."""
-    data, places = flat(pa.array(texts, pa.large_string()))
+    data, places = flat(texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string()))
     parts = list(pieces(places, 1 << 18))
     # document frequencies by label; a part's are merged at once, so memory follows the distinct features
     known, df = np.zeros(0, U), np.zeros((2, 0))
@@ -164,7 +164,7 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, most: int = 409
     return Model(chosen, w, b)
 
 
-def training(docs: DataFrame, labels: DataFrame, sample: int = 1000, folds: int = 3, fold: int = 1) -> tuple[list[str], np.ndarray]:
+def training(docs: DataFrame, labels: DataFrame, sample: int = 600, folds: int = 3, fold: int = 1) -> tuple[pa.ChunkedArray, np.ndarray]:
     """At most `sample` rows of each label outside the held-out fold, by a hash of their id; texts come by one scan
     against that bounded set of ids."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
@@ -174,9 +174,8 @@ def training(docs: DataFrame, labels: DataFrame, sample: int = 1000, folds: int
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * sample rows
     rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "y").toArrow()
     order = np.argsort(np.array(rows["doc_id"]), kind="stable")
-    texts = rows["text"].to_pylist()
     y = np.array(rows["y"]).astype(int)
-    return [texts[i] or "" for i in order], y[order]
+    return rows["text"].take(pa.array(order)), y[order]
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -204,5 +203,8 @@ def classify(docs: DataFrame, labelled: DataFrame, labels: DataFrame, **options)
     label only, all score 0. Inputs of a score are the text alone.
     """
     texts, y = training(labelled, labels, **options)
+    pool = pa.default_memory_pool()
     model = fit(texts, y) if len(texts) and 0 < y.sum() < len(y) else Model(np.zeros(0, U), np.zeros(0), -40.0)
+    del texts
+    pool.release_unused()
     return score(docs, model)
