@@ -14,9 +14,7 @@ from groundwork.llm._common import checkpoint_dir
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the toxicity model, learnt from their own labels, rejects."""
-    scored = toxicity.classify(docs, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scored.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    return toxicity.accepted(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -196,15 +196,39 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, worst_sentence long, n_sentences long")
 
 
-def classify(docs: DataFrame, labelled: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Scores docs by a model of labelled(doc_id, text) and labels(doc_id, toxic).
-
-    Rows that repeat are scored each; a null doc_id is scored and never learnt from; without any label, or with one
-    label only, all score 0. Inputs of a score are the text alone.
-    """
+def learn(labelled: DataFrame, labels: DataFrame, **options) -> Model:
+    """A model of labelled(doc_id, text) and labels(doc_id, toxic); without any label, or with one label only, all
+    texts score 0 under it."""
     texts, y = training(labelled, labels, **options)
     pool = pa.default_memory_pool()
     model = fit(texts, y) if len(texts) and 0 < y.sum() < len(y) else Model(np.zeros(0, U), np.zeros(0), -40.0)
     del texts
     pool.release_unused()
-    return score(docs, model)
+    return model
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below the threshold.
+
+    Each row is judged by its own text: rows with a null or repeated id too. Null and empty texts stay.
+    """
+    keys, weights, bias, place = model.keys, model.weights, model.bias, docs.columns.index("text")
+
+    def run(batches):
+        own = Model(keys, weights, bias)
+        for batch in batches:
+            data, places = flat(batch.column(place))
+            found = [own.scores(Words(data, places[i : j + 1]))[0] for i, j in pieces(places)]
+            if found:
+                yield batch.filter(pa.array(np.concatenate(found) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def classify(docs: DataFrame, labelled: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """Scores docs by a model of labelled(doc_id, text) and labels(doc_id, toxic).
+
+    Rows that repeat are scored each; a null doc_id is scored and never learnt from. Inputs of a score are the text
+    alone.
+    """
+    return score(docs, learn(labelled, labels, **options))

@@ -217,6 +217,9 @@ def test_toxicity(spark):
     assert all(got[r[0]].predicted == r[2] for r in rows) and got[500].score == got[501].score == 0
     assert got[0].worst_sentence == 1 and 0 <= got[None].score <= 1
     assert {r.score for r in toxicity.classify(d, d, labels.where("false")).collect()} == {0.0}
+    # rows are judged one by one, with repeated and null ids, and keep their columns
+    wide = spark.createDataFrame([(0, "fine words", "a"), (0, "you idiotic fool", "b"), (None, "total idiotic fool", "c"), (None, None, "d"), (1, "", None)], "doc_id long, text string, score string")
+    assert {r.score for r in toxicity.accepted(wide, toxicity.learn(d, labels)).collect()} == {"a", "d", None}
 
 
 def test_pii(spark):
@@ -233,6 +236,8 @@ def test_pii(spark):
     assert len(set(names)) == 1 and len(names) == 2
     digits = [re.sub(r"\D", "", p)[-10:] for p in re.findall(r"\+1 \(\d+\) \d+-\d+|(?<=; )\d+-\d+-\d+", out)]
     assert len(digits) == 2 and digits[0] == digits[1]
+    deep = spark.createDataFrame([(0, "joe@" + "a." * 50000 + "com, " + "1-" * 50000)], "doc_id long, text string")
+    assert "joe@" not in pii.replace(deep).first().text
     many = spark.createDataFrame([(i, f"u{i}@example.com +1 (555) 010-{i:04d} 10.1.{i // 256}.{i % 256}") for i in range(400)], "doc_id long, text string")
     assert pii.collisions(many).count() == 0 and pii.entities(many).select("surrogate").distinct().count() == 1200
 
