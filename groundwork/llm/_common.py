@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import sys
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,29 @@ def worker_cache(name: str, make):
     return store[name]
 
 
+def give_back():
+    """What this process has freed goes back to the system: workers that wait share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """run, a function of batches or of one group's table, that gives memory back when it is done."""
+
+    def stream(batches):
+        yield from run(batches)
+        give_back()
+
+    def once(table):
+        out = run(table)
+        give_back()
+        return out
+
+    return stream if inspect.isgeneratorfunction(run) else once
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, from one narrow scan."""
     return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

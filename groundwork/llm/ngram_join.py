@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, materialised, text_bytes
+from ._common import connected_components, lean, materialised, text_bytes
 from ._text import U, Words, flat, mix, pieces
 
 LOW = 40
@@ -243,21 +243,21 @@ def components(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, b
     table gives none.
     """
     buckets = int(max(8, text_bytes(docs) // (4 << 20)))
-    sent = docs.select("doc_id", "text").mapInArrow(_cut(buckets, width), _SENT)
+    sent = docs.select("doc_id", "text").mapInArrow(lean(_cut(buckets, width)), _SENT)
     rows = materialised(
-        sent.groupBy("dest").applyInArrow(_shared, _SENT).groupBy("block").applyInArrow(_gathered(num, den), _ROWS)
+        sent.groupBy("dest").applyInArrow(lean(_shared), _SENT).groupBy("block").applyInArrow(lean(_gathered(num, den)), _ROWS)
     )
     alive = rows.where("keys is not null")
     same = alive.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = alive.select("doc_id", "f1", "f2", "n_shingles").join(same.where("copies > 1").drop("copies"), ["f1", "f2", "n_shingles"])
     copies = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     reps = alive.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "keys")
-    index = reps.mapInArrow(_prefixes(num, den), "key long, doc_id long")
+    index = reps.mapInArrow(lean(_prefixes(num, den)), "key long, doc_id long")
     hubs = index.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
     stars = index.join(hubs.select("key", "hub"), "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     clusters = materialised(connected_components(stars))
     dealt = _dealt(reps, clusters, block).withColumn("task", F.expr(f"case when instr(`group`, ':') > 0 then `group` else string(pmod(xxhash64(`group`), {4 * buckets})) end"))
-    links = dealt.groupBy("task").applyInArrow(_products(num, den), "a long, b long")
+    links = dealt.groupBy("task").applyInArrow(lean(_products(num, den)), "a long, b long")
     found = connected_components(links.unionByName(copies))
     return rows.join(found, rows.doc_id == found.node, "left").select(
         rows.doc_id, "n_shingles", F.coalesce("component", rows.doc_id).alias("component_id")

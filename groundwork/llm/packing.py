@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import materialised, worker_cache
+from ._common import lean, materialised, worker_cache
 
 CAPACITY = 2048
 _UNSAFE = re.compile(r"\s\x20(?:\s|\Z)")
@@ -103,7 +103,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False)
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)][: 5 + with_ids], names=names[: 5 + with_ids])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, _PIECES + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), _PIECES + ", ids binary" * with_ids)
 
 
 def knapsack(prices: np.ndarray, limit: np.ndarray, capacity: int) -> dict[int, int]:

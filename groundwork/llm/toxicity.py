@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import give_back, lean
 from ._text import U, Words, flat, index, pieces
 
 PREFIXES = (4, 5, 6, 7)
@@ -193,17 +194,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
                     names=["doc_id", "score", "predicted", "worst_sentence", "n_sentences"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int, worst_sentence long, n_sentences long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double, predicted int, worst_sentence long, n_sentences long")
 
 
 def learn(labelled: DataFrame, labels: DataFrame, **options) -> Model:
     """A model of labelled(doc_id, text) and labels(doc_id, toxic); without any label, or with one label only, all
     texts score 0 under it."""
     texts, y = training(labelled, labels, **options)
-    pool = pa.default_memory_pool()
     model = fit(texts, y) if len(texts) and 0 < y.sum() < len(y) else Model(np.zeros(0, U), np.zeros(0), -40.0)
     del texts
-    pool.release_unused()
+    give_back()
     return model
 
 
@@ -222,7 +222,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
             if found:
                 yield batch.filter(pa.array(np.concatenate(found) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def classify(docs: DataFrame, labelled: DataFrame, labels: DataFrame, **options) -> DataFrame:
