@@ -23,11 +23,13 @@ from .ann_forest import matrix, valid_vectors
 
 def robust_prune(x: np.ndarray, pool: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Of each row's candidate pool (rows x c, nearest first), at most `degree` diverse ones; -1 fills up."""
+    x = x.astype(np.float32)
     out = np.full((len(pool), degree), -1, np.int64)
     for a in range(0, len(pool), 256):
         rows = pool[a : a + 256]
-        near = 1 - np.einsum("rd,rcd->rc", x[a : a + 256], x[rows])
-        between = 1 - np.einsum("rcd,red->rce", x[rows], x[rows])
+        v = x[rows]
+        near = 1 - np.matmul(v, x[a : a + 256, :, None])[:, :, 0]
+        between = 1 - np.matmul(v, v.transpose(0, 2, 1))
         alive = rows != np.arange(a, a + len(rows))[:, None]
         at = np.arange(len(rows))
         for k in range(degree):
@@ -53,8 +55,20 @@ def build(x: np.ndarray, degree: int = 16, pool: int = 48, alpha: float = 1.2, s
     return robust_prune(x, np.hstack([ids, far]), degree, alpha)
 
 
-def range_search(x: np.ndarray, near: list[np.ndarray] | np.ndarray, bound: float, beam: int = 12, block: int = 512):
-    """(row, found row) for pairs within the bound that greedy search from the medoid and the row itself reaches."""
+def dots(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """Inner products of x's rows a and y's rows b, `step` pairs at a time."""
+    out = np.empty(len(a), np.result_type(x, y))
+    for k in range(0, len(a), step):
+        out[k : k + step] = np.einsum("ij,ij->i", x[a[k : k + step]], y[b[k : k + step]])
+    return out
+
+
+def range_search(x: np.ndarray, near: list[np.ndarray] | np.ndarray, bound: float, beam: int = 12, block: int = 512, edges: int = 1 << 21):
+    """(row, found row) for pairs within the bound that greedy search from the medoid and the row itself reaches.
+
+    A round expands every open node within the range at once, or, where a row has none, those among its best `beam`;
+    it follows `edges` edges at a time, so a large group of close rows costs rounds of its diameter, not of its size.
+    """
     n = len(x)
     # every edge is taken both ways: pruning leaves only the way to the hub of close copies
     tail = np.repeat(np.arange(n), [len(v) for v in near])
@@ -62,8 +76,7 @@ def range_search(x: np.ndarray, near: list[np.ndarray] | np.ndarray, bound: floa
     both = np.unique(np.concatenate([tail * n + head, head * n + tail]))
     tail, head = both // n, both % n
     first = np.searchsorted(tail, np.arange(n + 1))
-    table = np.full((n, int(np.diff(first).max(initial=0)) + 1), -1, np.int64)
-    table[tail, np.arange(len(tail)) - first[tail]] = head
+    degree = np.diff(first)
     medoid = int((x @ x.mean(0)).argmax())
     left, right = [], []
     for a in range(0, n, block):
@@ -75,28 +88,49 @@ def range_search(x: np.ndarray, near: list[np.ndarray] | np.ndarray, bound: floa
         done = np.zeros((len(q), n), bool)
         live = at
         while len(live):
-            s = np.where(done[live], -np.inf, score[live])
-            pick = s.argmax(1)
-            value = s[np.arange(len(live)), pick]
-            # go on while something within the range is left, or the best `beam` are not all expanded
-            floor = np.partition(score[live], n - min(n, beam), axis=1)[:, n - min(n, beam)]
-            go = np.isfinite(value) & ((value >= bound - 1e-6) | (value >= floor))
+            own = score[live]
+            opened = np.isfinite(own) & ~done[live]
+            pick = opened & (own >= bound - 1e-6)
+            idle = np.flatnonzero(~pick.any(1))
+            if len(idle):
+                floor = np.partition(own[idle], n - min(n, beam), axis=1)[:, n - min(n, beam)]
+                pick[idle] = opened[idle] & (own[idle] >= floor[:, None])
+            go = pick.any(1)
             live, pick = live[go], pick[go]
             if not len(live):
                 break
-            done[live, pick] = True
-            more = table[pick]
-            r, c = np.nonzero(more >= 0)
-            who, node = live[r], more[r, c]
-            fresh = ~np.isfinite(score[who, node])
-            who, node = who[fresh], node[fresh]
-            score[who, node] = np.einsum("ij,ij->i", x[q[who]], x[node])
+            done[live] |= pick
+            who, node = np.nonzero(pick)
+            reached = np.zeros((len(live), n), bool)
+            ends = np.cumsum(degree[node])
+            k = 0
+            while k < len(node):
+                stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + edges, "right")))
+                many = degree[node[k:stop]]
+                within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                reached[np.repeat(who[k:stop], many), head[np.repeat(first[node[k:stop]], many) + within]] = True
+                k = stop
+            r, c = np.nonzero(reached & ~np.isfinite(score[live]))
+            score[live[r], c] = dots(x, x, q[live[r]], c)
         r, c = np.nonzero(score >= bound - 1e-4)
         left.append(q[r])
         right.append(c)
     return np.concatenate(left), np.concatenate(right)
 
 
+def smallest_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest that is reachable over the pairs (a, b)."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _unit(table: pa.Table) -> np.ndarray:
     x = matrix(table["embedding"])
     x = x / np.abs(x).max(1, keepdims=True)  # neither squares of tiny nor of huge components are lost
@@ -177,34 +211,28 @@ def links(
         a, b = np.concatenate([a, b]), np.concatenate([b, a])  # what either end finds counts for both
         pair = np.unique(a[a < b] * len(ids) + b[a < b])
         a, b = pair // len(ids), pair % len(ids)
-        shards, part = table["shards"].to_pylist(), np.asarray(table["part"])
+        part = np.asarray(table["part"])
         here, parts = table["shard"][0].as_py(), table["parts"][0].as_py()
-        ok = (x[a] * x[b]).sum(1) >= bound
+        ok = dots(x, x, a, b) >= bound
         if parts > 1:
             # pairs inside one part meet in all its groups: they count in that with the next part (the last: with part 0)
             i, j = map(int, table["group"][0].as_py().rsplit("|", 2)[1:])
             inside = part[a] == part[b]
             owner = ((part[a] == i) & (j == i + 1)) | ((part[a] == j) & (j == parts - 1) & (i == 0))
             ok &= ~inside | (owner if parts > 2 else True)
-        first = np.array([min(set(shards[p]) & set(shards[r])) == here for p, r in zip(a, b)], bool) if len(a) else np.zeros(0, bool)
-        ok &= first
+        # rows of a label have equally many shards; a pair counts where no smaller shard holds both
+        names, shards = np.unique(np.array(table["shards"].to_pylist()), return_inverse=True)
+        shards = shards.reshape(len(ids), -1)
+        smaller = shards < int(np.searchsorted(names, here))
+        for i in range(shards.shape[1]):
+            for j in range(shards.shape[1]):
+                ok &= (shards[a, i] != shards[b, j]) | ~smaller[a, i]
         a, b = a[ok], b[ok]
         counts = np.bincount(np.concatenate([a, b]), minlength=len(ids))
-        root = np.arange(len(ids))
-
-        def top(k):
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        for p, r in zip(a.tolist(), b.tolist()):
-            p, r = top(p), top(r)
-            if p != r:
-                root[max(p, r)] = min(p, r)
+        root = smallest_linked(len(ids), a, b)
         linked = np.flatnonzero(counts)
         return pa.table(
-            [pa.array(ids[linked]), pa.array(counts[linked].astype(np.int64)), pa.array(ids[[top(k) for k in linked]], pa.int64())], names=["vec_id", "n", "to"]
+            [pa.array(ids[linked]), pa.array(counts[linked].astype(np.int64)), pa.array(ids[root[linked]], pa.int64())], names=["vec_id", "n", "to"]
         )
 
     found = materialised(spread.join(united, "vec_id").groupBy("group").applyInArrow(find, "vec_id long, n long, to long"))
