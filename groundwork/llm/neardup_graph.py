@@ -173,7 +173,7 @@ def _grouped(assigned: DataFrame, part_rows: int) -> DataFrame:
 
 
 def links(
-    embeddings: DataFrame, bound: float = 0.98, overlap: int = 2, centre_rows: int = 512, most_centres: int = 16384, part_rows: int = 2048, degree: int = 16
+    embeddings: DataFrame, bound: float = 0.98, overlap: int = 3, centre_rows: int = 256, most_centres: int = 16384, part_rows: int = 2048, degree: int = 16
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of embeddings(vec_id, embedding, label).
 
