@@ -1,19 +1,24 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
-Vectors go to the shards of their `overlap` nearest centres (a bounded sample of rows of their own label), so that
-close vectors share a shard. A shard is cut by a hash into parts of at most `part_rows`; every pair of parts is one
-group. Each group builds a flat graph: the exact nearest of each row and some far ones, pruned robustly (a candidate
-goes when a kept neighbour is nearer to it, by alpha, than the row). Adjacency lists of a row from all groups are
-united; then every row searches each of its groups greedily from the medoid and from its own node, and expands the
-range: any node within the bound is expanded until none is left. Found pairs are verified by cosine in double
-precision. A pair that meets in several shards counts in the first only, so groups return counts per row and a
-spanning forest, never the pairs, and the components follow from the forests.
+Centres are a bounded sample of rows of each label; of centres nearer to each other than two linked pairs one stays, so
+a group of close rows does not fall apart into many shards. A vector is at home in the shard of its nearest centre c
+and a guest in that of any other centre d where a vector that links with it can be at home: such a vector lies beyond
+the plane between c and d, so the vector's distance v(c - d) / |c - d| from that plane is at most the sine of the
+bound's angle. Of the shards of two homes one takes the other's guests, so a pair that links meets in one shard, once.
+A shard's homes and guests are cut by a hash into parts of at most `part_rows`; a group is one part of homes with
+itself and the first guests, or with another part. Among the homes of one part a flat graph is built: the exact nearest
+of each row and some far ones, pruned robustly (a candidate goes when a kept neighbour is nearer to it, by alpha, than
+the row). Every row searches it greedily from the medoid and from its own node, and expands the range: any node within
+the bound is expanded until none is left. Found pairs are verified by cosine in double precision; parts that meet are
+compared by products in blocks. Groups return counts per row and a spanning forest, never the pairs, and the
+components follow from the forests.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,43 +142,105 @@ def _unit(table: pa.Table) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _assigned(rows: DataFrame, centres: list, overlap: int) -> DataFrame:
+def thinned(c: np.ndarray, near: float) -> np.ndarray:
+    """Rows of c (unit vectors), in order, without those whose cosine with one that stays is at least `near`."""
+    kept, held = [], np.empty_like(c)
+    for i, v in enumerate(c):
+        if not kept or (held[: len(kept)] @ v).max() < near:
+            held[len(kept)] = v
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
+def homes_and_guests(x: np.ndarray, c: np.ndarray, bound: float, block: int = 256):
+    """For each row of x its nearest of the centres c, and the list of those it is a guest of.
+
+    Rows whose cosine is at least the bound share a centre, as two homes or as a home and a guest, and only one.
+    """
+    reach = np.sqrt(1 - bound * bound) if bound > 0 else np.inf
+    homes, guests = np.empty(len(x), np.int64), [None] * len(x)
+    every = np.arange(len(c))
+    for a in range(0, len(x), block):
+        s = x[a : a + block] @ c.T
+        home = homes[a : a + block] = s.argmax(1)
+        for h in np.unique(home):
+            rows = np.flatnonzero(home == h)
+            apart = np.sqrt(np.maximum(0, ((c - c[h]) ** 2).sum(1)))
+            takes = ((every < h) == ((every + h) % 2 == 0)) & (every != h)  # one of two homes, in turn the first and second
+            near = (s[rows, h][:, None] - s[rows] <= (reach * apart if np.isfinite(reach) else np.inf) + 1e-9) & takes
+            for r, m in zip(rows, near):
+                guests[a + r] = np.flatnonzero(m)
+    return homes, guests
+
+
+def _assigned(rows: DataFrame, centres: list, bound: float) -> DataFrame:
     held: dict = {}
-    for i, r in enumerate(centres):
+    for r in centres:
         v = np.array(r["embedding"], float)
-        held.setdefault((r["label"], len(v)), ([], []))
-        held[r["label"], len(v)][0].append(i)
-        held[r["label"], len(v)][1].append(v / np.sqrt((v * v).sum()))
-    held = {k: (np.array(i), np.array(v)) for k, (i, v) in held.items()}
+        v /= np.abs(v).max()
+        held.setdefault((r["label"], len(v)), []).append(v / np.sqrt((v * v).sum()))
+    # planes between centres nearer than twice the bound's angle are crossed by most rows of both
+    near = 2 * bound * bound - 1 if bound > 0 else -1
+    held = {k: np.array(v)[thinned(np.array(v), near)] for k, v in held.items()}
 
     def run(batches):
         for batch in batches:
-            label, own = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            shards = []
-            for y, v in zip(label, own):
-                ids, c = held.get((y, len(v)), (None, None))
-                if ids is None:
-                    shards.append([f"{y}:{len(v)}"])
+            label, size = batch.column(1).to_pylist(), np.array(pa.compute.list_value_length(batch.column(2)))
+            home, guests = [None] * len(label), [[] for _ in label]
+            kinds: dict = {}
+            for i, k in enumerate(zip(label, size.tolist())):
+                kinds.setdefault(k, []).append(i)
+            for (y, n), at in kinds.items():
+                c = held.get((y, n))
+                if c is None:
+                    for i in at:
+                        home[i] = f"{y}:{n}"
                 else:
-                    s = c @ np.array(v)
-                    shards.append([f"{y}:{len(v)}:{ids[k]}" for k in sorted(np.argsort(-s, kind="stable")[:overlap])])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards, pa.list_(pa.string()))], names=["vec_id", "label", "embedding", "shards"])
+                    own, others = homes_and_guests(_unit(pa.table([batch.column(2).take(pa.array(at))], names=["embedding"])), c, bound)
+                    for i, h, g in zip(at, own.tolist(), others):
+                        home[i], guests[i] = f"{y}:{n}:{h}", [f"{y}:{n}:{k}" for k in g.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(home, pa.string()), pa.array(guests, pa.list_(pa.string()))], names=["vec_id", "embedding", "home", "guests"]
+            )
 
-    return rows.mapInArrow(run, "vec_id long, label long, embedding array<double>, shards array<string>")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    return rows.mapInArrow(run, f"vec_id long, embedding {kind}, home string, guests array<string>")
 
 
 def _grouped(assigned: DataFrame, part_rows: int) -> DataFrame:
-    """A row for each group of a vector: its shard's parts in pairs, or the one part there is."""
-    spread = assigned.withColumn("shard", F.explode("shards"))
-    parts = assigned.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
-    spread = spread.join(parts, "shard").withColumn("part", F.expr("cast(pmod(xxhash64(vec_id), parts) as int)"))
-    return spread.withColumn("other", F.explode(F.expr("case when parts = 1 then array(0) else filter(sequence(0, parts - 1), o -> o <> part) end"))).withColumn(
-        "group", F.expr("concat_ws('|', shard, least(part, other), greatest(part, other))")
+    """A row for each group of a vector, named shard|left part|right part; homes' parts go before guests'.
+
+    The first guests join the group of each part of homes with itself; any other two parts are a group if one is of
+    homes. So a home and another home or guest of its shard meet in one group.
+    """
+    shards = F.expr("explode(concat(array(struct(home as shard, false as guest)), transform(guests, g -> struct(g as shard, true as guest)))) as s")
+    spread = assigned.select("vec_id", "embedding", shards).select("vec_id", "embedding", "s.shard", "s.guest")
+    parts = assigned.select(shards).groupBy("s.shard").agg(
+        F.greatest(F.lit(1), F.ceil(F.sum(F.expr("int(not s.guest)")) / part_rows)).cast("int").alias("homes"),
+        F.greatest(F.lit(1), F.ceil(F.sum(F.expr("int(s.guest)")) / part_rows)).cast("int").alias("others"),
+    )
+    spread = spread.join(F.broadcast(parts.where("homes > 1 or others > 1")), "shard", "left").fillna(1, ["homes", "others"])
+    spread = spread.withColumn("part", F.expr("cast(pmod(xxhash64(vec_id), if(guest, others, homes)) as int)"))
+    meets = """case when guest then transform(sequence(0, homes - 1), i -> struct(i as l, if(part = 0, i, homes + part - 1) as r)) else concat(
+        transform(sequence(0, homes - 1), i -> struct(least(i, part) as l, greatest(i, part) as r)),
+        case when others = 1 then array() else transform(sequence(1, others - 1), g -> struct(part as l, homes + g - 1 as r)) end) end"""
+    return spread.withColumn("g", F.explode(F.expr(meets))).select(
+        "vec_id", "embedding", F.expr("concat_ws('|', shard, g.l, g.r)").alias("group"), F.expr("not guest and part = g.l").alias("left")
     )
 
 
+def compared(x: np.ndarray, y: np.ndarray, bound: float, step: int = 512):
+    """(row of x, row of y) of all pairs whose cosine is at least the bound, by products of `step` rows at a time."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(x) if len(y) else 0, step):
+        i, j = np.nonzero(x[a : a + step] @ y.T >= bound)
+        left.append(i + a)
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def links(
-    embeddings: DataFrame, bound: float = 0.98, overlap: int = 3, centre_rows: int = 256, most_centres: int = 16384, part_rows: int = 2048, degree: int = 16
+    embeddings: DataFrame, bound: float = 0.98, centre_rows: int = 256, most_centres: int = 16384, part_rows: int = 2048, degree: int = 16
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of embeddings(vec_id, embedding, label).
 
@@ -182,52 +249,31 @@ def links(
     null component and is kept. Rows that repeat an id are one vector, that of the first by content. Other columns
     are ignored.
     """
-    own = embeddings.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "array<float>" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    own = embeddings.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
     rows = valid_vectors(own.where("label is not null")).groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("x")).select("vec_id", "x.label", "x.embedding")
     total = rows.count()
     rate = min(1 / centre_rows, most_centres / max(1, total))
     centres = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(rate * (1 << 20))).orderBy("vec_id").limit(2 * most_centres).collect()
-    spread = materialised(_grouped(_assigned(rows, centres, overlap), part_rows))
-
-    def graph(table: pa.Table) -> pa.Table:
-        ids = np.asarray(table["vec_id"])
-        near = build(_unit(table), degree)
-        return pa.table([table["vec_id"], pa.array([ids[r[r >= 0]].tolist() for r in near], pa.list_(pa.int64()))], names=["vec_id", "near"])
-
-    lists = spread.groupBy("group").applyInArrow(graph, "vec_id long, near array<long>")
-    united = lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    spread = _grouped(materialised(_assigned(rows, centres, bound)), part_rows)
 
     def find(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(table["vec_id"]), kind="stable")
-        table = table.take(pa.array(order))
-        ids = np.asarray(table["vec_id"])
+        table = table.take(pa.array(np.argsort(np.asarray(table["vec_id"]), kind="stable")))
+        ids, left = np.asarray(table["vec_id"]), np.asarray(table["left"])
         x = _unit(table)
-        near = []
-        for v in table["near"].to_pylist():
-            v = np.array(v or [], np.int64)
-            at = np.minimum(np.searchsorted(ids, v), len(ids) - 1)
-            near.append(at[ids[at] == v])
-        a, b = range_search(x, near, bound)
-        a, b = np.concatenate([a, b]), np.concatenate([b, a])  # what either end finds counts for both
-        pair = np.unique(a[a < b] * len(ids) + b[a < b])
-        a, b = pair // len(ids), pair % len(ids)
-        part = np.asarray(table["part"])
-        here, parts = table["shard"][0].as_py(), table["parts"][0].as_py()
-        ok = dots(x, x, a, b) >= bound
-        if parts > 1:
-            # pairs inside one part meet in all its groups: they count in that with the next part (the last: with part 0)
-            i, j = map(int, table["group"][0].as_py().rsplit("|", 2)[1:])
-            inside = part[a] == part[b]
-            owner = ((part[a] == i) & (j == i + 1)) | ((part[a] == j) & (j == parts - 1) & (i == 0))
-            ok &= ~inside | (owner if parts > 2 else True)
-        # rows of a label have equally many shards; a pair counts where no smaller shard holds both
-        names, shards = np.unique(np.array(table["shards"].to_pylist()), return_inverse=True)
-        shards = shards.reshape(len(ids), -1)
-        smaller = shards < int(np.searchsorted(names, here))
-        for i in range(shards.shape[1]):
-            for j in range(shards.shape[1]):
-                ok &= (shards[a, i] != shards[b, j]) | ~smaller[a, i]
-        a, b = a[ok], b[ok]
+        i, j = table["group"][0].as_py().rsplit("|", 2)[1:]
+        here, there = np.flatnonzero(left), np.flatnonzero(~left)
+        a, b = compared(x[here], x[there], bound)
+        a, b = here[a], there[b]
+        if i == j and len(here) > 1:
+            own = x[here]
+            near = [r[r >= 0] for r in build(own, degree)]
+            p, q = range_search(own, near, bound)
+            p, q = np.concatenate([p, q]), np.concatenate([q, p])  # what either end finds counts for both
+            pair = np.unique(p[p < q] * len(own) + q[p < q])
+            p, q = pair // len(own), pair % len(own)
+            ok = dots(own, own, p, q) >= bound
+            a, b = np.concatenate([a, here[p[ok]]]), np.concatenate([b, here[q[ok]]])
         counts = np.bincount(np.concatenate([a, b]), minlength=len(ids))
         root = smallest_linked(len(ids), a, b)
         linked = np.flatnonzero(counts)
@@ -235,7 +281,7 @@ def links(
             [pa.array(ids[linked]), pa.array(counts[linked].astype(np.int64)), pa.array(ids[root[linked]], pa.int64())], names=["vec_id", "n", "to"]
         )
 
-    found = materialised(spread.join(united, "vec_id").groupBy("group").applyInArrow(find, "vec_id long, n long, to long"))
+    found = materialised(spread.groupBy("group").applyInArrow(find, "vec_id long, n long, to long"))
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     comps = connected_components(found.select(F.col("vec_id").alias("a"), F.col("to").alias("b")))
     out = own.select("vec_id").join(counts, "vec_id", "left").join(comps.withColumnRenamed("node", "vec_id"), "vec_id", "left")

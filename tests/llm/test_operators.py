@@ -209,6 +209,33 @@ def test_near_duplicates(spark):
     assert all(found[b[0]].n_links == 0 and found[b[0]].kept for b in BAD)
 
 
+def noisy_copies(seed=4):
+    """600 noisy copies of one vector at a cosine of about 0.99, and 300 vectors about 0.98 from some of them."""
+    r = np.random.default_rng(seed)
+    x = r.standard_normal(64)[None] + 0.1 * r.standard_normal((900, 64))
+    x[600:] = x[:300] + 0.2 * r.standard_normal((300, 64))
+    u = x.astype(np.float32).astype(float)
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    link = u @ u.T >= 0.98
+    np.fill_diagonal(link, False)
+    return x, u, link
+
+
+def test_pairs_that_link_share_one_shard(spark):
+    x, u, link = noisy_copies()
+    spread = np.random.default_rng(5).standard_normal((2000, 64))
+    spread[1000:] = spread[:1000] + 0.2 * np.random.default_rng(6).standard_normal((1000, 64))
+    spread /= np.sqrt((spread * spread).sum(1, keepdims=True))
+    for rows, centres in ((u, u[::16]), (spread, spread[::40])):
+        home, guests = neardup_graph.homes_and_guests(rows, centres, 0.98)
+        a, b = np.nonzero(np.triu(rows @ rows.T >= 0.98, 1))
+        assert len(a) > 100
+        for i, j in zip(a[:20000], b[:20000]):
+            assert int(home[i] == home[j]) + int(home[i] in guests[j]) + int(home[j] in guests[i]) == 1
+    found = {q.vec_id: q.n_links for q in neardup_graph.links(vectors(spark, x), centre_rows=16, part_rows=128).collect()}
+    assert link.sum() * 0.98 <= sum(found[i] for i in range(900)) <= link.sum()
+
+
 def test_toxicity(spark):
     rows = [(i, ("fine words here. " * (i % 5 + 1)) + ("you total idiotic fool. " if i % 4 == 0 else "") + "more words\nend", int(i % 4 == 0)) for i in range(200)]
     d = spark.createDataFrame([r[:2] for r in rows] + [(None, "idiotic"), (500, None), (501, "")], "doc_id long, text string")
