@@ -39,7 +39,7 @@ KINDS = {"email": EMAIL, "ipv4": IPV4, "card": CARD, "phone": PHONE, "ssn": SSN,
 #: All kinds; one look ahead spares most characters the kinds that begin with a digit or a capital.
 ANY = rf"{EMAIL}|(?=[\d(+])(?:{IPV4}|{CARD}|{PHONE}|{SSN})|{NAME}"
 #: What any text with an entity holds.
-HINT = rf"@|\d{{3}}|\d\.\d|{NAME}"
+HINT = rf"@|\d{{3}}|\d\.\d|\+\d|{NAME}"
 #: Classes of characters that are permuted among themselves.
 CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿ", "çñß", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщьъ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 

@@ -269,6 +269,16 @@ def test_pii(spark):
     assert pii.collisions(many).count() == 0 and pii.entities(many).select("surrogate").distinct().count() == 1200
 
 
+@pytest.mark.parametrize(
+    "entity", ["+49 30 12 34 56", "+33-12-34-56-78", "+1.22.33", "+12233", "(743) 555-3824", "743.555.3824", "123-45-6789", "4111 1111 1111 1111", "1.2.3.4", "j@x.io", "Dr Smith", "Анна Каренина"]
+)
+def test_pii_of_a_text_with_one_entity(spark, entity):
+    d = spark.createDataFrame([(1, f"so {entity} it is"), (2, f"so {entity} it is, 123 @")], "doc_id long, text string")
+    alone, among = (r.text for r in pii.replace(d).orderBy("doc_id").collect())
+    assert entity not in alone and among == alone + ", 123 @"
+    assert all(sum(r[f"n_{k}"] for k in pii.KINDS) == 1 for r in pii.counts(d).collect())
+
+
 def test_sentencepiece_best_segmentation_and_round_trip(spark, docs):
     pieces = [(p, s) for p, s in [("<b>", 0)] * 256] + [("▁a", -1.0), ("b", -1.5), ("ab", -1.2), ("▁ab", -3.0), ("bab", -2.0), ("a", -1.1), ("▁", -0.5)]
     v = sentencepiece_ac.Viterbi(pieces, 0, [False] * 256 + [True] * 7)
