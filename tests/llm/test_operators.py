@@ -236,6 +236,25 @@ def test_pairs_that_link_share_one_shard(spark):
     assert link.sum() * 0.98 <= sum(found[i] for i in range(900)) <= link.sum()
 
 
+def test_pairs_meet_in_one_group(spark):
+    """No pair depends on what another group finds: each is compared in one group, also where parts are many."""
+    x, u, link = noisy_copies()
+    d = vectors(spark, x)
+    centres = d.where("vec_id % 50 = 0").collect()
+    rows = neardup_graph._grouped(neardup_graph._assigned(d.selectExpr("vec_id", "cast(label as long) label", "embedding"), centres, 0.98), 40).collect()
+    groups = defaultdict(lambda: ([], []))
+    for r in rows:
+        groups[r.group][r.left].append(r.vec_id)
+    meets = np.zeros(link.shape, int)
+    for name, (right, left) in groups.items():
+        i, j = name.rsplit("|", 2)[1:]
+        meets[np.ix_(left, right)] += 1
+        meets[np.ix_(right, left)] += 1
+        if i == j:
+            meets[np.ix_(left, left)] += 1
+    assert len(groups) > 100 and (meets[link] == 1).all()
+
+
 def test_toxicity(spark):
     rows = [(i, ("fine words here. " * (i % 5 + 1)) + ("you total idiotic fool. " if i % 4 == 0 else "") + "more words\nend", int(i % 4 == 0)) for i in range(200)]
     d = spark.createDataFrame([r[:2] for r in rows] + [(None, "idiotic"), (500, None), (501, "")], "doc_id long, text string")
