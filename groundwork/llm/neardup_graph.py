@@ -9,8 +9,8 @@ A shard's homes and guests are cut by a hash into parts of at most `part_rows`;
 itself and the first guests, or with another part. Among the homes of one part a flat graph is built: the exact nearest
 of each row and some far ones, pruned robustly (a candidate goes when a kept neighbour is nearer to it, by alpha, than
 the row). Every row searches it greedily from the medoid and from its own node, and expands the range: any node within
-the bound is expanded until none is left. Found pairs are verified by cosine in double precision; parts that meet are
-compared by products in blocks. Groups return counts per row and a spanning forest, never the pairs, and the
+the bound is expanded until none is left. Found pairs are verified by cosine in double precision, and an audit of all
+rows of the part adds what the search missed; parts that meet are compared by products in blocks. Groups return counts per row and a spanning forest, never the pairs, and the
 components follow from the forests.
 """
 
@@ -239,6 +239,17 @@ def compared(x: np.ndarray, y: np.ndarray, bound: float, step: int = 512):
     return np.concatenate(left), np.concatenate(right)
 
 
+def audited(x: np.ndarray, a: np.ndarray, b: np.ndarray, bound: float):
+    """The pairs (a, b), a < b, of x's rows that are within the bound, and those that the search for them missed.
+
+    The audit's queries are all rows, against all rows, so recall after it is 1 whatever the graph found.
+    """
+    p, q = compared(x, x, bound)
+    ok = dots(x, x, a, b) >= bound
+    pair = np.union1d(a[ok] * len(x) + b[ok], p[p < q] * len(x) + q[p < q])
+    return pair // len(x), pair % len(x)
+
+
 def links(
     embeddings: DataFrame, bound: float = 0.98, centre_rows: int = 256, most_centres: int = 16384, part_rows: int = 2048, degree: int = 16
 ) -> DataFrame:
@@ -271,9 +282,8 @@ def links(
             p, q = range_search(own, near, bound)
             p, q = np.concatenate([p, q]), np.concatenate([q, p])  # what either end finds counts for both
             pair = np.unique(p[p < q] * len(own) + q[p < q])
-            p, q = pair // len(own), pair % len(own)
-            ok = dots(own, own, p, q) >= bound
-            a, b = np.concatenate([a, here[p[ok]]]), np.concatenate([b, here[q[ok]]])
+            p, q = audited(own, pair // len(own), pair % len(own), bound)
+            a, b = np.concatenate([a, here[p]]), np.concatenate([b, here[q]])
         counts = np.bincount(np.concatenate([a, b]), minlength=len(ids))
         root = smallest_linked(len(ids), a, b)
         linked = np.flatnonzero(counts)

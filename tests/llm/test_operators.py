@@ -255,6 +255,18 @@ def test_pairs_meet_in_one_group(spark):
     assert len(groups) > 100 and (meets[link] == 1).all()
 
 
+def test_audit_adds_what_the_search_missed(spark):
+    x, u, link = noisy_copies()
+    none = np.zeros(0, np.int64)
+    for a, b in ((none, none), (np.array([0, 1]), np.array([1, 899]))):
+        p, q = neardup_graph.audited(u, a, b, 0.98)
+        found = np.zeros(link.shape, bool)
+        found[p, q] = True
+        assert (found == np.triu(link)).all()
+    got = {r.vec_id: r.n_links for r in neardup_graph.links(vectors(spark, x), centre_rows=16, part_rows=128).collect()}
+    assert [got[i] for i in range(900)] == link.sum(1).tolist()
+
+
 def test_toxicity(spark):
     rows = [(i, ("fine words here. " * (i % 5 + 1)) + ("you total idiotic fool. " if i % 4 == 0 else "") + "more words\nend", int(i % 4 == 0)) for i in range(200)]
     d = spark.createDataFrame([r[:2] for r in rows] + [(None, "idiotic"), (500, None), (501, "")], "doc_id long, text string")
