@@ -265,6 +265,22 @@ def components(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, b
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that reach a smaller doc_id by links."""
-    lost = components(docs, **options).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti")
+    """One row of each group of docs that links join, that of the smallest doc_id (null is largest).
+
+    Rows are judged one by one, by a hash of doc_id and text: of rows equal in both one stays, different texts under one
+    doc_id are two documents, and rows without doc_id link by their text. Texts without words link with nothing, so
+    they all stay, but for repeats of one doc_id and text.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.col("text").cast("binary"), F.col("doc_id").isNull(), F.col("text").isNull()))
+    bare = F.col("doc_id").isNull() & F.expr("coalesce(not text rlike '[^\\\\x20\\\\x09-\\\\x0D]', true)")
+    twice = materialised(keyed.where(~bare).groupBy("_row").count().where("count > 1").select("_row"))
+    if not twice.isEmpty():
+        repeats = keyed.join(twice, "_row", "left_semi").dropDuplicates(["_row"])
+        keyed = keyed.join(twice, "_row", "left_anti").unionByName(repeats)
+    found = components(keyed.select(F.col("_row").alias("doc_id"), "text"), **options)
+    linked = materialised(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("to")).distinct())
+    linked = linked.unionByName(linked.select(F.col("to").alias("_row"), "to").distinct())
+    placed = linked.join(keyed.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("place")), "_row")
+    first = placed.groupBy("to").agg(F.min("place").alias("kept"))
+    lost = placed.join(first, "to").where("_row <> kept._row").select("_row")
+    return keyed.join(lost, "_row", "left_anti").drop("_row")

@@ -164,6 +164,14 @@ def test_ngram_join(spark, docs):
     assert ngram_join.components(docs.where("false")).count() == 0
 
 
+def test_one_of_each_group_of_rows(spark):
+    """By row: repeats, near copies without doc_id, and two texts under one doc_id."""
+    rows = [(5, BASE[0]), (5, BASE[0]), (2, BASE[0].upper()), (None, BASE[0]), (None, BASE[1]), (None, BASE[1]), (7, BASE[2]), (9, BASE[2]), (9, BASE[3]), (None, ""), (None, ""), (None, None), (3, None), (3, None), (4, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(d).collect())
+    assert got == Counter([(2, BASE[0].upper()), (None, BASE[1]), (7, BASE[2]), (9, BASE[3]), (None, ""), (None, ""), (None, None), (3, None), (4, "")])
+
+
 def test_large_cluster_is_cut_in_blocks(spark):
     text = [f"w{i}" for i in range(60)]
     rows = [(k, " ".join([*text[: k % 3], f"x{k}", *text[3:]])) for k in range(40)]
