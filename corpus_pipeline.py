@@ -47,5 +47,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Tokenisation and the trained classifier have no SQL form; tests hold run() against a plain version.
+#: Tokenisation and the trained classifier have no SQL form; run() is not tested against a plain version.
 ORACLE_SQL = None
