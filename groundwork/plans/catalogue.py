@@ -191,19 +191,19 @@ def paragraph_split(spark, sf_dir):
     return claims.split(_turns(spark, sf_dir), "paragraph").select("response_id", "seg_seq", "segment")
 
 
-def _turns(spark, sf_dir, role: str | None = None) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where(F.col("role") == role if role else F.lit(True))
+def _turns(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
     return rows.select((F.col("conv_id") * 100000 + F.col("turn")).alias("response_id"), F.col("text").alias("response"))
 
 
 @_query()
 def sentence_split(spark, sf_dir):
-    return claims.extract(_turns(spark, sf_dir, "assistant")).select("response_id", "claim_idx", "text", "start", "end", "is_factual")
+    return claims.extract(_turns(spark, sf_dir)).select("response_id", "claim_idx", "text", "start", "end", "is_factual")
 
 
 @_query()
 def clause_split(spark, sf_dir):
-    return claims.extract(_turns(spark, sf_dir, "assistant"), "clause").select("response_id", "claim_idx", "text", "start", "end")
+    return claims.extract(_turns(spark, sf_dir), "clause").select("response_id", "claim_idx", "text", "start", "end")
 
 
 @_query(r"""SELECT item_id, regexp_replace(regexp_replace('See [3] (Smith, 2020) ' || text || ' ^4 [Source: a b] end [^2].', '\[\^?\d+\]|\^\d+|\[Source:\s*[^\]]+\]|\([A-Z][a-z]+(?:\s+et\s+al\.?)?,?\s*\d{4}\)', '', 'g'), '\s{2,}', ' ', 'g') AS stripped FROM benchmark""")

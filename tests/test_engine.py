@@ -150,3 +150,12 @@ def test_embedder(spark):
     r, s = frames(spark, ["Something else entirely."])
     report = cite(r, s, CiteOptions(embedder=lambda texts: [[1.0, 0.0, 0.0] for _ in texts]))
     assert {x.embedding for x in report.attributions.collect()} == {1.0}
+
+
+def test_sentences_and_clauses_of_all_turns(spark, tmp_path):
+    from groundwork.plans.catalogue import QUERIES
+
+    rows = [(1, 0, "user", "The river is long and wide. It flows to the sea."), (1, 1, "assistant", "The sea is deep and cold.")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in ("sentence_split", "clause_split"):
+        assert {r.response_id for r in QUERIES[name](spark, str(tmp_path)).collect()} == {100000, 100001}
