@@ -37,6 +37,25 @@ def worker_cache(name: str, make):
     return store[name]
 
 
+class BoundedCache:
+    """A dictionary of at most about `limit` bytes; it is emptied when full, and only saves time."""
+
+    def __init__(self, limit: int):
+        self.limit, self.held, self.known = limit, 0, {}
+        self.get = self.known.get
+
+    def put(self, key, value, size: int):
+        """Keeps value; size is an estimate of its bytes and its key's, without what a dictionary takes for an entry."""
+        self.held += size + 100
+        if self.held > self.limit:
+            self.clear()
+        self.known[key] = value
+
+    def clear(self):
+        self.known.clear()
+        self.held = 0
+
+
 def give_back():
     """What this process has freed goes back to the system: workers that wait share the executor's memory."""
     pa.default_memory_pool().release_unused()

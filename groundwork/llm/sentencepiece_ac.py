@@ -1,57 +1,97 @@
 """SentencePiece encoding by an Aho-Corasick automaton and a single-pass Viterbi, and decoding.
 
 The automaton over the pieces reads a segment once; at each position its output links name every piece that ends
-there, and each relaxes the best score of that position. Scores are the model file's. A position that no piece
-reaches takes its character's UTF-8 bytes as byte pieces, below any piece's score. The best-scoring segmentation is
-what this operator returns; for a model file whose scores are merge ranks (a BPE model) that need not be the order of
-merges. Texts are cut before runs of the space mark, which no piece crosses except as a run, and the segments of a
-worker are cached, so that repeated words cost a look-up.
+there, and each is tried as the last piece of the best segmentation up to there. What is best follows the kind of the
+model file. A unigram model relaxes the sum of the pieces' scores; a character that no piece holds takes its UTF-8
+bytes as byte pieces, below any piece's score. A BPE model's scores are ranks of merges and are not to be summed:
+there a position keeps the one piece that stands with the piece before it in the order of merges, that is, whose
+string, joined with that of the piece before, is merged to these two again. Every prefix of a text has exactly one
+such last piece, so the ids are those of merging pair by pair. Other kinds of model files are refused, as are those
+that normalise texts. Texts are cut before runs of the space mark, which no piece crosses except as a run, and the
+segments of a task are cached, so that repeated words cost a look-up.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import worker_cache
+from ._common import BoundedCache, lean, worker_cache
 
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
-#: Entries of a worker's segment cache; it is emptied when full, and only saves time. Longer segments are not kept.
-_CACHE, _LONG = 1_000_000, 64
+#: Bytes of a task's segment cache, and of a worker's cache of pairs; longer segments are not kept. They only save time.
+_CACHE, _PAIRS, _LONG = 96 << 20, 48 << 20, 64
+#: Kinds of models as the file names them.
+KINDS = {1: "unigram", 2: "bpe"}
+
+
+def fields(raw: bytes):
+    """(number, value) of each field of a serialized message."""
+    at = 0
+
+    def number():
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = number() if key & 7 == 2 else {1: 8, 5: 4}[key & 7]
+            yield key >> 3, raw[at : at + size]
+            at += size
 
 
 class Viterbi:
     """Encoder over (piece, score) in order of ids; bytes_at is the id of the byte piece 0x00."""
 
-    def __init__(self, pieces: list[tuple[str, float]], bytes_at: int, usable: list[bool] | None = None):
+    def __init__(self, pieces: list[tuple[str, float]], bytes_at: int, usable: list[bool] | None = None, kind: str = "unigram"):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        self.text = [p for p, _ in pieces]
+        self.text, self.scores = [p for p, _ in pieces], [s for _, s in pieces]
         self.bytes_at = bytes_at
+        self.score_of: dict[str, float] = {}
         for i, (p, s) in enumerate(pieces):
             if p and (usable is None or usable[i]):
                 self.automaton.add_word(p, (len(p), i, s))
+                self.score_of[p] = s
         self.automaton.make_automaton()
-        self.penalty = min((s for i, (_, s) in enumerate(pieces) if usable is None or usable[i]), default=0.0) - 10.0
-        self.cache: dict[str, tuple[bytes, float, int]] = {}
+        self.penalty = min(self.score_of.values(), default=0.0) - 10.0
+        self.cache, self.pairs = BoundedCache(_CACHE), BoundedCache(_PAIRS)
+        if kind == "bpe" and any(c not in self.score_of for p in self.score_of for c in p):
+            raise ValueError("a character of some pieces is no piece")
+        self.segment = {"unigram": self.by_scores, "bpe": self.by_merges}[kind]
 
     @classmethod
     def from_file(cls, path: str) -> "Viterbi":
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        spec = {number: dict(fields(value)) for number, value in fields(sp.serialized_model_proto()) if number in (2, 3)}
+        kind, rules = KINDS.get(spec[2].get(3, 1)), spec.get(3, {})
+        if kind is None or rules.get(2) or not rules.get(3, 1) or rules.get(4, 1) or not rules.get(5, 1):
+            raise ValueError("only unigram and BPE models that put a space mark in front and else leave texts as they are")
         ids = range(sp.get_piece_size())
         plain = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in ids]
-        return cls([(sp.id_to_piece(i), sp.get_score(i)) for i in ids], sp.piece_to_id("<0x00>"), plain)
+        return cls([(sp.id_to_piece(i), sp.get_score(i)) for i in ids], sp.piece_to_id("<0x00>"), plain, kind)
 
-    def segment(self, text: str) -> tuple[list[int], float]:
-        """Ids and score of the best segmentation of a text in marks."""
+    def by_scores(self, text: str) -> tuple[list[int], float]:
+        """Ids and score of the segmentation of a text in marks with the best sum of scores."""
         n = len(text)
         best, back = [0.0] + [float("-inf")] * n, [None] * (n + 1)
         done = 0
@@ -77,22 +117,83 @@ class Viterbi:
             e = b
         return [i for part in reversed(out) for i in part], best[n]
 
+    def stands(self, before: str, piece: str) -> bool:
+        """Whether two pieces stay apart and whole when the adjacent pair of the best score in their string, the first
+        of equal ones, is merged until none can be; before is empty at a text's start."""
+        none, score_of = float("-inf"), self.score_of
+        parts, cut = list(before + piece), len(before)
+        scores = [score_of.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == none:
+                break
+            k = scores.index(best)
+            if k == cut - 1:
+                return False
+            cut -= k < cut
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = score_of.get(parts[k - 1] + parts[k], none)
+            if k < len(scores):
+                scores[k] = score_of.get(parts[k] + parts[k + 1], none)
+        return len(parts) == 1 + bool(before)
+
+    def by_merges(self, text: str) -> tuple[list[int], float]:
+        """Ids of the text in the order of merges, and the sum of their scores."""
+        n, pairs, names = len(text), self.pairs, self.text
+        start, last = [-1] * (n + 1), [-1] * (n + 1)  # of the last piece up to each place: its begin and id
+        done = start[0] = 0
+        for end, (length, i, _) in self.automaton.iter(text):
+            end += 1
+            if start[end] >= 0:
+                continue
+            while done < end - 1:  # no piece holds a character of its own: it stands alone, and what follows begins anew
+                done += 1
+                if start[done] < 0:
+                    start[done] = done - 1
+            begin = end - length
+            if start[begin] < 0:
+                continue
+            before = last[begin]
+            key = (before << 32) | i
+            ok = pairs.get(key)
+            if ok is None:
+                ok = self.stands(names[before] if before >= 0 else "", names[i])
+                pairs.put(key, ok, 40)
+            if ok:
+                start[end], last[end] = begin, i
+        while done < n:
+            done += 1
+            if start[done] < 0:
+                start[done] = done - 1
+        out, score, e, scores = [], 0.0, n, self.scores
+        while e:
+            i = last[e]
+            if i >= 0:
+                out.append(i)
+                score += scores[i]
+            else:
+                out += [self.bytes_at + x for x in reversed(text[start[e] : e].encode())]
+                score += self.penalty
+            e = start[e]
+        out.reverse()
+        return out, score
+
     def encode(self, text: str) -> tuple[bytes, float, int]:
         """Little-endian unsigned 32-bit ids, score, and how many ids are byte pieces."""
         if not text:
             return b"", 0.0, 0
         marked = SPACE + text.replace(" ", SPACE)
         ids, score, fallback, cache = [], 0.0, 0, self.cache
-        if len(cache) > _CACHE:
-            cache.clear()
         for part in _SEGMENT.findall(marked):
             found = cache.get(part)
             if found is None:
                 own, s = self.segment(part)
                 low, high = self.bytes_at, self.bytes_at + 256
-                found = (np.array(own, "<u4").tobytes(), s, sum(low <= i < high for i in own))
+                found = (struct.pack(f"<{len(own)}I", *own), s, sum(low <= i < high for i in own) if min(own) < high else 0)
                 if len(part) <= _LONG:
-                    cache[part] = found
+                    cache.put(part, found, 2 * len(part) + len(found[0]) + 150)
             ids.append(found[0])
             score += found[1]
             fallback += found[2]
@@ -108,6 +209,10 @@ class Viterbi:
             whole = "".join([text[i] for i in ids])
         return whole.replace(SPACE, " ")[1:] if whole.startswith(SPACE) else whole.replace(SPACE, " ")
 
+    def forget(self):
+        """Drops the segments of a task; the pairs, which all texts share, stay within their bound."""
+        self.cache.clear()
+
 
 def model(path: str | None = None) -> Viterbi:
     import public_tokenizers as public
@@ -117,7 +222,10 @@ def model(path: str | None = None) -> Viterbi:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids, score) of each row of docs(doc_id, text); null and empty texts have no ids and score 0."""
+    """(doc_id, ids, score) of each row of docs(doc_id, text); null and empty texts have no ids and score 0.
+
+    Rows that repeat and null doc_ids are kept, other columns ignored; an empty table gives none.
+    """
 
     def run(batches):
         own = model(path)
@@ -125,26 +233,28 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             found = [own.encode(t.as_py() or "") for t in batch.column(1)]
             ids = [np.frombuffer(x[0], "<u4").astype(np.int32) for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "ids", "score"])
+        own.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids array<int>, score double")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, text) of each row of encoded(doc_id, ids)."""
+    """(doc_id, text) of each row of encoded(doc_id, ids); null ids give an empty text."""
 
     def run(batches):
         own = model(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_pieces, n_bytes, ids_crc32, score, round_trip) of each row; round_trip: decoding gives the text.
 
     A text that holds the space mark itself decodes to a space there, as the format has it, and does not round-trip.
-    Rows that repeat and null doc_ids are kept; null text counts as empty.
+    Rows that repeat and null doc_ids are kept; null text counts as empty; other columns are ignored; an empty table
+    gives none.
     """
 
     def run(batches):
@@ -158,5 +268,6 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_pieces", "n_bytes", "ids_crc32", "score", "round_trip"])
+        own.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, score double, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, score double, round_trip boolean")
