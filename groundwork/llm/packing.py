@@ -2,11 +2,13 @@
 
 Texts are tokenised where they are read; only (doc_id, piece, length, checksum) rows go on. The histogram has at most
 `capacity` lengths whatever the input, so the driver solves the covering program min sum x_c, sum_c a_cl x_c >= n_l:
-multiplicative weights keep a price per length, a knapsack dynamic program finds the configuration (multiset of
-lengths in one sequence) worth most, prices of what it covers fall. The scaled average is rounded down and what is
-left is packed best-fit decreasing by counts. The plan (a few thousand slots) is broadcast: it is bounded by the
-capacity and the iterations, not by the input. Pieces meet their slots by rank within their length; ranks are running
-counts in salted buckets of each length, so that no length is ever sorted in one task.
+multiplicative weights keep a price per length that falls as its pieces are covered, a knapsack dynamic program prices
+all configurations (multisets of lengths in one sequence) at once, and the best one with each length is read back from
+it. The solution is rounded to whole times, what is left is solved and rounded again, and the few pieces that remain are
+packed best-fit decreasing by counts. The prices also give a lower bound of the sequences that any packing takes. The
+plan (some ten thousand slots) is broadcast: it is bounded by the capacity and the rounds, not by the input. Pieces meet
+their slots by rank within their length; ranks are running counts in salted buckets of each length, as many as its pieces
+ask for, so that no length is ever sorted in one task.
 """
 
 from __future__ import annotations
@@ -18,15 +20,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import lean, materialised, worker_cache
+from ._common import BoundedCache, lean, materialised, worker_cache
 
 CAPACITY = 2048
+#: How fast a price falls with the share that is covered, and failures in a row after which a round ends.
+RATE, MISSES = 0.2, 16
 _UNSAFE = re.compile(r"\s\x20(?:\s|\Z)")
 _SPECIAL = "<|endoftext|>"
-#: Entries of a worker's chunk cache; it is emptied when full, and only saves time.
-_CACHE = 1_500_000
+#: Bytes of a task's chunk cache; it is emptied when full and at the task's end, and only saves time.
+_CACHE = 24 << 20
+#: Pieces of a length that are ranked in one task, and the most salts of all lengths together.
+_RANKED, _SALTS = 4096, 1 << 16
 
 
 class ChunkEncoder:
@@ -50,7 +55,7 @@ class ChunkEncoder:
         self.whole = Tokenizer.from_file(json_path)
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
         self.fast = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, bytes] = {}
+        self.cache = BoundedCache(_CACHE)
 
     def _one(self, chunk: str) -> bytes:
         latin = max(chunk) < "ɐ"
@@ -64,14 +69,13 @@ class ChunkEncoder:
         if _SPECIAL in text or _UNSAFE.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         cache = self.cache
-        if len(cache) > _CACHE:
-            cache.clear()
         head, *tail = text.split(" ")
         out = [self._one(head)] if head else []
         for word in tail:
             found = cache.get(word)
             if found is None:
-                found = cache[word] = self._one(" " + word)
+                found = self._one(" " + word)
+                cache.put(word, found, 2 * len(word) + len(found) + 100)
             out.append(found)
         return b"".join(out)
 
@@ -89,7 +93,8 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False)
     """Each document's ids and a final 0, cut into pieces of `capacity` only when longer; the first may be shorter."""
 
     def cut(batches):
-        encode = encoder().ids
+        own = encoder()
+        encode = own.ids
         for batch in batches:
             rows = [[] for _ in range(6)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -102,78 +107,136 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)][: 5 + with_ids], names=names[: 5 + with_ids])
+        own.cache.clear()
 
     return docs.select("doc_id", "text").mapInArrow(lean(cut), _PIECES + ", ids binary" * with_ids)
 
 
-def knapsack(prices: np.ndarray, limit: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of total at most capacity worth most; prices[l] for length l, -inf where none is left.
+def knapsack(price: np.ndarray, capacity: int) -> np.ndarray:
+    """The best worth of any multiset of lengths for each total up to capacity; price[l] for length l, -inf if none.
 
-    One dynamic program over the capacity; `limit` caps the copies of a length when the choice is read back.
+    One dynamic program over the totals, each step a maximum over all lengths at once.
     """
-    lengths = np.flatnonzero(prices > 0)
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    worth = prices[lengths]
+    back = np.zeros(capacity + 1)  # from the right: a window of it lies against the prices of lengths 1, 2, ...
+    top = 0.0
     for c in range(1, capacity + 1):
-        k = int(np.searchsorted(lengths, c, "right"))
-        best[c] = best[c - 1]
-        if k:
-            value = best[c - lengths[:k]] + worth[:k]
-            at = int(value.argmax())
-            if value[at] > best[c] + 1e-15:
-                best[c], pick[c] = value[at], lengths[at]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        length = int(pick[c])
-        if length and out.get(length, 0) < limit[length]:
-            out[length] = out.get(length, 0) + 1
-            c -= length
-        elif length:
-            break
-        else:
-            c -= 1
-    return out
+        top = max(top, float((back[capacity - c + 1 :] + price[1 : c + 1]).max()))
+        back[capacity - c] = top
+    return back[::-1].copy()
 
 
-def configurations(counts: np.ndarray, capacity: int, rounds: int = 160) -> list[tuple[dict[int, int], int]]:
-    """(configuration, times) that use every one of counts[l] pieces of each length l exactly once."""
-    left = counts.astype(np.int64).copy()
-    left[0] = 0
-    plan: list[tuple[dict[int, int], int]] = []
-    if left[capacity]:
-        plan.append(({capacity: 1}, int(left[capacity])))
-        left[capacity] = 0
-    present = left > 0
-    # multiplicative weights on the covering rows; the dual start is each length's share of a sequence
-    lengths = np.arange(capacity + 1)
-    price = np.where(present, lengths / capacity, 0.0)
-    weight, covered = {}, np.zeros(capacity + 1)
-    for _ in range(rounds if present.sum() else 0):
-        chosen = knapsack(price, left, capacity)
-        if not chosen:
+def read_back(first: int, price: np.ndarray, worth: np.ndarray, room: np.ndarray, loss: float) -> tuple[dict[int, int], float]:
+    """A configuration with one `first` that takes of each length at most room[length], and what it is worth.
+
+    The dynamic program's values lead: each step takes the length after which most can still be gained, as often as
+    nothing is lost by it. It ends early once more than `loss` would be lost against the program's optimum, which
+    copies without limit can reach.
+    """
+    capacity = len(worth) - 1
+    made, free, got = {first: 1}, capacity - first, float(price[first])
+    least, own = got + worth[free] - loss, price
+    while free > 0:
+        value = worth[:free] + own[free:0:-1]  # of lengths free, free - 1, ..., 1: the longest of equal ones is taken
+        at = int(value.argmax())
+        k = free - at
+        if got + value[at] < least:
             break
-        key = tuple(sorted(chosen.items()))
-        step = max(1.0, min(left[l] / n for l, n in chosen.items()) / 8)
-        weight[key] = weight.get(key, 0.0) + step
-        for l, n in chosen.items():
-            covered[l] += n * step
-        share = np.divide(covered, left, out=np.zeros(capacity + 1), where=present)
-        low = share[present].min()
-        price = np.where(present, lengths / capacity * np.exp(-3.0 * np.clip(share - low, 0, 20)), 0.0)
+        if made.get(k, 0) >= room[k]:  # of what is used up there is no more
+            own = own.copy() if own is price else own
+            own[k] = -np.inf
+            continue
+        many = np.arange(1, min(int(room[k]) - made.get(k, 0), free // k) + 1)
+        same = worth[free - k * many] + price[k] * many >= value[at] - 1e-12
+        times = len(many) if same.all() else max(1, int(same.argmin()))
+        made[k] = made.get(k, 0) + times
+        got += float(price[k]) * times
+        free -= k * times
+    return made, got
+
+
+def weigh(counts: np.ndarray, centre: np.ndarray, rounds: int, step: float, slack: float) -> tuple[dict[tuple, int], np.ndarray]:
+    """Multiplicative weights on the covering program: (times of each configuration, the best dual prices found).
+
+    A length's price falls by the exponent of the share of its pieces that is covered. In each round the dynamic
+    program prices all configurations; for every length that is not covered yet, the least covered first, the best
+    configuration that holds it is taken, if it is worth at least 1 - slack of the best of all, as often as the round's
+    allowance of `step` of each length's pieces lets it. Prices divided by the best worth are feasible in the dual, so
+    their sum over all pieces bounds every packing from below; the best such prices are the centre of later rounds.
+    """
+    capacity = len(counts) - 1
+    lengths = np.flatnonzero(counts)
+    share, times, bound = np.zeros(capacity + 1), {}, 0.0
+    allowance = np.minimum(np.maximum(1, (step * counts).astype(np.int64)), counts)
+    for _ in range(rounds):
+        low = share[lengths].min()
         if low >= 1:
             break
-    share = np.divide(covered, left, out=np.zeros(capacity + 1), where=present)
-    # round down what fits, fullest configurations first
-    for key, x in sorted(weight.items(), key=lambda kv: (-sum(l * n for l, n in kv[0]), kv[0])):
-        over = max([1.0, *(share[l] for l, _ in key)])
-        times = min(int(x / over), *(int(left[l] // n) for l, n in key))
-        if times > 0 and sum(l * n for l, n in key) >= capacity - 1:
-            plan.append((dict(key), times))
-            for l, n in key:
-                left[l] -= n * times
-    plan += best_fit(left, capacity)
-    return plan
+        price = np.where(counts > 0, centre * np.exp(-RATE * np.clip(share - low, 0, 60)), -np.inf)
+        worth = knapsack(price, capacity)
+        top = price[lengths] + worth[capacity - lengths]
+        best = float(top.max())
+        if (found := float((price[lengths] * counts[lengths]).sum()) / best) > bound:
+            bound, centre = found, np.where(counts > 0, price / best, centre)
+        todo = lengths[(top >= (1 - slack) * best) & (share[lengths] < 1)]
+        room, own, missed = allowance.copy(), price.copy(), 0
+        for first in todo[np.lexsort((-todo, np.round(share[todo], 3)))].tolist():
+            if room[first] <= 0:
+                continue
+            made, got = read_back(first, own, worth, room, slack * best)
+            missed = missed + 1 if got < (1 - slack) * best else 0
+            if missed > MISSES:  # the allowance is used up
+                break
+            if missed:
+                continue
+            many = min(int(room[l]) // n for l, n in made.items())
+            for l, n in made.items():
+                room[l] -= n * many
+                share[l] += n * many / counts[l]
+                if room[l] <= 0:
+                    own[l] = -np.inf
+            key = tuple(sorted(made.items(), reverse=True))
+            times[key] = times.get(key, 0) + many
+    return times, centre
+
+
+def configurations(counts: np.ndarray, capacity: int, rounds: int = 6, step: float = 0.3, slack: float = 0.02) -> tuple[list[tuple[dict[int, int], int]], float, int]:
+    """(plan, lower bound of sequences, pieces placed by the program's configurations).
+
+    The plan's (configuration, times) use every one of counts[l] pieces of each length l exactly once. The program's
+    solution is rounded by taking its configurations, those worth most at the dual prices first, as often as pieces are
+    left for them whole; those that lose more than `loss` stay out. What is left is a smaller program, which is solved
+    and rounded again; the loss that is borne doubles, up to slack, whenever a solution places less than a tenth of
+    what is left. What at last no configuration holds is packed best-fit decreasing.
+    """
+    left = counts.astype(np.int64).copy()
+    left[0] = 0
+    plan: dict[tuple, int] = {}
+    whole = int(left[capacity])
+    if whole:
+        plan[((capacity, 1),)] = whole
+        left[capacity] = 0
+    size = np.arange(capacity + 1)
+    bound, placed, loss, centre = 0.0, 0, 1 / capacity, size / capacity
+    while left.any():
+        times, centre = weigh(left, centre, rounds, step, slack)
+        bound = bound or float((centre * left).sum())
+        value = {key: sum(centre[l] * n for l, n in key) for key in times}
+        before = left.copy()
+        for key in sorted(times, key=lambda k: (-round(value[k], 9), k[0][0] * -1, k)):
+            if value[key] < 1 - loss:
+                break
+            many = min(times[key], *(int(left[l]) // n for l, n in key))
+            if many > 0:
+                plan[key] = plan.get(key, 0) + many
+                for l, n in key:
+                    left[l] -= n * many
+        gone = before - left
+        placed += int(gone.sum())
+        if 10 * (gone * size).sum() < (before * size).sum():
+            if loss >= slack:
+                break
+            loss = min(slack, 2 * loss)
+    return [(dict(key), many) for key, many in plan.items()] + best_fit(left, capacity), bound + whole, placed + whole
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -215,20 +278,23 @@ def _slots(plan) -> list[tuple[int, int, int, int, int]]:
     return rows
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, rounds: int = 160, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, rounds: int = 6) -> DataFrame:
     """One row per piece of docs(doc_id, text): _PIECES, sequence_id and offset, gapless from 0 in each sequence.
 
     Null and empty texts are one id. Rows that repeat, and null doc_ids, are packed like any other; other columns are
     ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    cut = materialised(pieces_of(docs, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")))
-    counts = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    by_salt = counts.collect()  # at most capacity x salts rows
+    cut = materialised(pieces_of(docs, capacity))
     histogram = np.zeros(capacity + 1, np.int64)
-    for r in by_salt:
-        histogram[r["length"]] += r["n"]
-    slots = _slots(configurations(histogram, capacity, rounds))
+    for r in cut.groupBy("length").count().collect():  # at most capacity rows
+        histogram[r["length"]] = r["count"]
+    # the more pieces have one length, the more salts it has: none is ranked in one task, at most _SALTS rows come back
+    unit = max(_RANKED, int(histogram.sum()) // _SALTS)
+    salts = spark.createDataFrame([(int(l), int(histogram[l]) // unit + 1) for l in np.flatnonzero(histogram)], "length long, salts int")
+    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.expr("pmod(xxhash64(doc_id, piece, ids_crc32), salts)")).drop("salts")
+    by_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()
+    slots = _slots(configurations(histogram, capacity, rounds)[0])
     # each salt of a length takes a range of that length's ranks; ranges are cut where slots end
     ahead: dict[int, int] = {}
     cuts: dict[int, list] = {}
@@ -238,14 +304,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, rounds: int = 160, salts: in
     for r in sorted(by_salt, key=lambda r: (r["length"], r["salt"])):
         base.append((r["length"], r["salt"], ahead.get(r["length"], 0)))
         ahead[r["length"]] = ahead.get(r["length"], 0) + r["n"]
-    long = T.LongType()
-    shape = lambda *names: T.StructType([T.StructField(n, long) for n in names])
-    base_df = spark.createDataFrame(base, shape("length", "salt", "base"))
+    base_df = spark.createDataFrame(base, "length long, salt long, base long")
     per_length = [(l, [list(map(int, s[1:])) for s in sorted(v, key=lambda s: s[1])]) for l, v in cuts.items()]
     slot_df = spark.createDataFrame(per_length, "length long, slots array<array<long>>")
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = (
-        cut.withColumn("_rank", rank.cast("long") - 1)
+        salted.withColumn("_rank", rank.cast("long") - 1)
         .join(F.broadcast(base_df), ["length", "salt"])
         .withColumn("_rank", F.col("_rank") + F.col("base"))
         .join(F.broadcast(slot_df), "length")
