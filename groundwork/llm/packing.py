@@ -26,6 +26,8 @@ from ._common import BoundedCache, lean, materialised, worker_cache
 CAPACITY = 2048
 #: How fast a price falls with the share that is covered, and failures in a row after which a round ends.
 RATE, MISSES = 0.2, 16
+#: The largest share of a sequence that a rounded configuration may lose against the dual prices.
+MOST = 0.25
 _UNSAFE = re.compile(r"\s\x20(?:\s|\Z)")
 _SPECIAL = "<|endoftext|>"
 #: Bytes of a task's chunk cache; it is emptied when full and at the task's end, and only saves time.
@@ -199,13 +201,13 @@ def weigh(counts: np.ndarray, centre: np.ndarray, rounds: int, step: float, slac
     return times, centre
 
 
-def configurations(counts: np.ndarray, capacity: int, rounds: int = 6, step: float = 0.3, slack: float = 0.02) -> tuple[list[tuple[dict[int, int], int]], float, int]:
+def configurations(counts: np.ndarray, capacity: int, rounds: int = 6, step: float = 0.3, slack: float = 0.02, most: float = MOST) -> tuple[list[tuple[dict[int, int], int]], float, int]:
     """(plan, lower bound of sequences, pieces placed by the program's configurations).
 
     The plan's (configuration, times) use every one of counts[l] pieces of each length l exactly once. The program's
     solution is rounded by taking its configurations, those worth most at the dual prices first, as often as pieces are
     left for them whole; those that lose more than `loss` stay out. What is left is a smaller program, which is solved
-    and rounded again; the loss that is borne doubles, up to slack, whenever a solution places less than a tenth of
+    and rounded again; the loss that is borne doubles, up to `most`, whenever a solution places less than a tenth of
     what is left. What at last no configuration holds is packed best-fit decreasing.
     """
     left = counts.astype(np.int64).copy()
@@ -233,9 +235,9 @@ def configurations(counts: np.ndarray, capacity: int, rounds: int = 6, step: flo
         gone = before - left
         placed += int(gone.sum())
         if 10 * (gone * size).sum() < (before * size).sum():
-            if loss >= slack:
+            if loss >= most:
                 break
-            loss = min(slack, 2 * loss)
+            loss = min(most, 2 * loss)
     return [(dict(key), many) for key, many in plan.items()] + best_fit(left, capacity), bound + whole, placed + whole
 
 
