@@ -2,7 +2,7 @@
 
 Every tree is a sorted array of long hash strings (signs of random projections). A query descends to its longest
 matching prefix in each tree; then all trees ascend together, one bit at a time, until the rows below the common
-prefixes add up to `gather` times the shard's rows; those candidates are ranked by exact inner product on the original
+prefixes add up to `gather` times the shard's rows and hold k distinct ones; those candidates are ranked by exact inner product on the original
 vectors. Inner product becomes an angle by one more coordinate that gives all rows of a shard the same norm.
 
 Rows are dealt by a hash of their id to shards of about `shard_rows`, queries to blocks; each pair of them is one
@@ -54,8 +54,10 @@ class Forest:
     def _hash(projected: np.ndarray) -> np.ndarray:
         return ((projected > 0).astype(np.uint64) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)).sum(1)
 
-    def candidates(self, queries: np.ndarray, gather: int):
-        """For each query the rows below the longest common prefixes that together hold `gather` entries."""
+    def candidates(self, queries: np.ndarray, gather: int, least: int):
+        """For each query the rows below the longest common prefixes that together hold `gather` entries and `least`
+        distinct rows; all rows, where there are fewer."""
+        least = min(least, len(self.x))
         hashes = np.stack([self._hash(queries @ p[:-1]) for p in self.planes])
         level = np.zeros(len(queries), np.int64)
         found = np.zeros(len(queries), bool)
@@ -73,17 +75,27 @@ class Forest:
             found[todo[enough]], level[todo[enough]] = True, depth
             low[:, todo[enough]], high[:, todo[enough]] = lo[:, enough], hi[:, enough]
         for q in range(len(queries)):
-            seen = np.zeros(len(self.x), bool)
-            for order, a, b in zip(self.order, low[:, q], high[:, q]):
-                seen[order[a:b]] = True
+            seen, depth = self._below(low[:, q], high[:, q]), int(level[q])
+            while depth > 0 and np.count_nonzero(seen) < least:  # trees that hold the same rows: all go on up
+                depth -= 1
+                mask, rest = np.uint64(((1 << depth) - 1) << (BITS - depth)), np.uint64((1 << (BITS - depth)) - 1)
+                ends = [(np.searchsorted(k, h & mask, "left"), np.searchsorted(k, (h & mask) | rest, "right")) for k, h in zip(self.keys, hashes[:, q])]
+                seen = self._below(*zip(*ends))
             yield np.flatnonzero(seen)
 
+    def _below(self, low, high) -> np.ndarray:
+        seen = np.zeros(len(self.x), bool)
+        for order, a, b in zip(self.order, low, high):
+            seen[order[a:b]] = True
+        return seen
+
 
 def nearest(x, ids, queries, query_ids, k: int, trees: int, gather: float):
     """(query, row id, score) of each query's best k candidates, ties to the smaller id."""
     out = ([], [], [])
     if len(x) and len(queries):
-        for q, qid, rows in zip(queries, query_ids, Forest(x, trees).candidates(queries, max(4 * k, int(gather * len(x))))):
+        repeats = int(np.unique(ids, return_counts=True)[1].max())  # rows of a query's own id are no candidates
+        for q, qid, rows in zip(queries, query_ids, Forest(x, trees).candidates(queries, max(4 * k, int(gather * len(x))), k + repeats)):
             rows = rows[ids[rows] != qid]
             score = (x[rows] * q).sum(1)
             best = np.lexsort((ids[rows], -score))[:k]
@@ -99,10 +111,12 @@ def search(
 
     A candidate with the query's id is not returned. Vectors that are null, zero or hold null or non-finite
     components take no part, nor do rows without id; vectors meet only those of their length. Rows that repeat an id
-    are each a candidate; a repeated query is asked once. Other columns are ignored. Empty tables give none.
+    are each a candidate of other queries; of queries that repeat an id the first by length and content is asked. A query
+    with fewer than k candidates gets all of them. Other columns are ignored. Empty tables give none.
     """
     rows = valid_vectors(embeddings).select("vec_id", "embedding", F.size("embedding").alias("dim"))
-    asked = valid_vectors(queries).select("vec_id", "embedding", F.size("embedding").alias("dim")).dropDuplicates(["vec_id"])
+    asked = valid_vectors(queries).select("vec_id", "embedding", F.size("embedding").alias("dim"))
+    asked = asked.groupBy("vec_id").agg(F.min(F.struct("dim", "embedding")).alias("_q")).select("vec_id", "_q.embedding", "_q.dim")
     shards = rows.count() // shard_rows + 1
     blocks = asked.count() // query_rows + 1
     deal = lambda df, own, n, other, m: df.withColumn(own, F.expr(f"cast(pmod(xxhash64(vec_id, '{own}'), {n}) as int)")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
