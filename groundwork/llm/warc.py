@@ -26,6 +26,8 @@ TRAINING_BYTES = 3 << 20
 LEAST_PAYLOAD = 100
 #: Bytes given to the decompressor at once, so that what follows a record is not copied for each record.
 STEP = 16 << 10
+#: The most tasks that archives are dealt to when they are read; more archives make longer tasks.
+READERS = 1 << 16
 
 
 def with_types(pages: DataFrame) -> DataFrame:
@@ -172,7 +174,7 @@ def write(pages: DataFrame, folder: str | None = None, archive_bytes: int = 24 <
 
 
 def read(index: DataFrame) -> DataFrame:
-    """Every record of the archives that an index names, read back and checked."""
+    """Every record of the archives that an index names, read back and checked; an empty index gives none."""
 
     def get(batches):
         from pyarrow import fs
@@ -187,5 +189,6 @@ def read(index: DataFrame) -> DataFrame:
                     kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, kinds)], names=["page_id", "record_type", "payload_digest", "payload_bytes", "refers_to", "body"])
 
-    names = index.select("path").distinct()
-    return names.mapInArrow(get, "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, body binary")
+    names = materialised(index.select("path").distinct())
+    # the list is short, so its planner would put it in one task; an archive each, until there are very many
+    return names.repartition(max(1, min(names.count(), READERS))).mapInArrow(get, "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, body binary")
