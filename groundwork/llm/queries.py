@@ -52,8 +52,7 @@ def op7_toxicity(spark, sf_dir):
 
 def op8_pii_surrogates(spark, sf_dir):
     """Every text with surrogates for its personal data, and how many of each kind."""
-    docs = pii.counts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return pii.replace(docs)
+    return pii.report(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
 
 
 def op9_sentencepiece(spark, sf_dir):
@@ -91,6 +90,15 @@ ORACLE_SQL = {
         e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
         r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
         SELECT n.doc_id, cast(n.n AS BIGINT) AS n_shingles, m.c AS component_id FROM n JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) m USING (doc_id)""",
+    "op5_secret_scan": secrets.ORACLE_SQL,
+    "op6_embedding_near_dedup": r"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.c),
+        m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, cast(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN m USING (vec_id) LEFT JOIN n USING (vec_id)""",
     "op10_warc_archives": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
         d AS (SELECT page_id, cast(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),

@@ -77,3 +77,29 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
         F.expr(_joined("concat(_base, _added)")).alias("spans"),
         F.expr("cast(size(_added) as bigint)").alias("n_linked"),
     )
+
+
+def _oracle(scope: int = 200) -> str:
+    """DuckDB SQL for scan: spans as rows, linked by joins on their starts."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = ", ".join(f"({i}, {q(k)}, {q(p)})" for i, (k, p) in enumerate(zip(KINDS, (ASSIGN, ACCESS, HEX, ENDPOINT, IDENTITY, SHORT))))
+    completes = ", ".join(f"({KINDS.index(k)}, {KINDS.index(o)})" for k, v in COMPLETES.items() for o in v)
+    listed = "coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e){0}, '')"
+    return f"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        p(k, kind, pattern) AS (VALUES {kinds}),
+        g AS (SELECT r, k, kind, pattern, list_transform(string_split_regex(t, pattern), lambda x: length(x)) AS gaps, regexp_extract_all(t, pattern) AS hits FROM t, p),
+        u AS (SELECT r, k, kind, pattern, gaps, list_transform(hits, lambda x: length(x)) AS sizes, hits, unnest(range(1, len(hits) + 1)) AS i FROM g),
+        m AS (SELECT r, k, kind, hits[i] AS m, pattern, cast(list_sum(gaps[1:i]) + coalesce(list_sum(sizes[1:i - 1]), 0) AS BIGINT) AS s, sizes[i] AS n FROM u),
+        x AS (SELECT r, k, kind, s, s + n AS e FROM m WHERE CASE k WHEN 0 THEN length(regexp_extract(m, pattern, 2)) >= 12 WHEN 1 THEN n >= 18 ELSE true END),
+        w AS (SELECT * FROM x WHERE k >= 3 AND NOT EXISTS (SELECT 1 FROM x b WHERE b.r = x.r AND b.k < 2 AND b.s < x.e AND x.s < b.e)),
+        o AS (SELECT * FROM x WHERE k < 3 UNION ALL SELECT * FROM w),
+        c(k, o) AS (VALUES {completes}),
+        a AS (SELECT * FROM w WHERE EXISTS (SELECT 1 FROM o JOIN c ON c.o = o.k WHERE o.r = w.r AND c.k = w.k AND abs(o.s - w.s) <= {scope})),
+        f AS (SELECT * FROM x WHERE k < 3 UNION ALL SELECT * FROM a)
+        SELECT any_value(doc_id) AS doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+            sha256({listed.format(' FILTER (k < 3)')}) AS base_sha256, {listed.format('')} AS spans, count(*) FILTER (k > 2) AS n_linked
+        FROM t LEFT JOIN f USING (r) GROUP BY r"""
+
+
+ORACLE_SQL = _oracle()
