@@ -13,16 +13,25 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or, where it is unset and the driver is the only
+    machine (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="groundwork-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store, whatever store that is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df written once to the shared folder; its lineage is cut, so a lost executor costs nothing that was done."""
     checkpoint_dir(df.sparkSession)
