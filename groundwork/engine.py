@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import attribution, citations, claims, verification
 from .options import CiteOptions
+from .sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -21,6 +22,14 @@ class CitationReport:
     verifications: DataFrame
     scores: DataFrame
     responses: DataFrame
+    extracted: DataFrame
+    options: CiteOptions
+
+    def kept(self) -> "CitationReport":
+        """The same report with citations, claims and attributions computed now, once, and written to the checkpoint
+        folder, so that what follows from them scores nothing again."""
+        found, said, scored = (written(df) for df in (self.citations, self.extracted, self.attributions))
+        return _report(self.responses, found, said, scored, self.options)
 
     @property
     def attributed(self) -> DataFrame:
@@ -49,16 +58,26 @@ class CitationReport:
 
 
 def cite(responses: DataFrame, sources: DataFrame, options: CiteOptions = CiteOptions()) -> CitationReport:
-    """The report of responses(response_id, response) against sources(response_id, source_pos, source_id, content,
-    metadata[, embedding])."""
-    if "metadata" not in sources.columns:
-        sources = sources.withColumn("metadata", F.expr("cast(null as struct<title: string, author: string, year: string, url: string>)"))
-    found = citations.resolve(citations.parse(responses, options), sources, options)
-    said = claims.extract(responses, options.claim_granularity)
-    scored = attribution.score(said.where("is_factual"), sources, options)
+    """The report of responses(response_id, response) against sources(response_id, source_pos, source_id, content[,
+    metadata, embedding]).
+
+    Where both have a column corpus_id, sources belong to a corpus that many responses share, and are prepared once
+    for all of them. A response_id is one response, source_pos counts a response's sources from 1; null texts count as
+    empty. Other columns are ignored. Nothing runs before it is asked for; `kept` writes the scores once.
+    """
+    key = "corpus_id" if "corpus_id" in responses.columns and "corpus_id" in sources.columns else "response_id"
+    member = responses.select("response_id", "corpus_id") if key == "corpus_id" else None
+    keyed = lambda df: df if member is None else df.join(member, "response_id")
+    parsed, said = citations.parse(responses, options), claims.extract(responses, options.claim_granularity)
+    found = citations.resolve(keyed(parsed), sources, options, key).drop("corpus_id")
+    scored = attribution.score(keyed(said.where("is_factual")), sources, options, key)
+    return _report(responses, found, said, scored, options)
+
+
+def _report(responses, found, said, scored, options) -> CitationReport:
     checks = verification.verify(said, found, scored, options)
     reports = verification.claim_reports(said, found, scored, options)
-    return CitationReport(found, reports, scored, checks, verification.response_scores(responses, reports, checks, found, options), responses)
+    return CitationReport(found, reports, scored, checks, verification.response_scores(responses, reports, checks, found, options), responses, said, options)
 
 
 verify = cite

@@ -27,75 +27,144 @@ def longest_run(claim: list[str], source: list[str]) -> tuple[int, int]:
     return best, where
 
 
-def prefix_distances(pattern: np.ndarray, text: np.ndarray, starts: np.ndarray, longest: int):
-    """Yields, for w = 1..longest, the edit distance of the pattern and text[s:s + w] for every start s.
+#: Starts whose columns are carried at once; a claim's sources are taken together up to that many.
+STARTS = 1 << 14
 
-    Bit-parallel columns (Myers; Hyyrö's block form): one step carries the columns of all starts at once.
+
+def _steps(pattern: np.ndarray, text: np.ndarray, starts: np.ndarray, longest: int, needed):
+    """Yields, for w = 1..longest, (starts, edit distances of the pattern and text[s:s + w]).
+
+    Bit-parallel columns (Myers; Hyyrö's block form): one step carries the columns of all starts at once. Before a
+    step, needed(w) may name the starts that still matter, as a mask over those last yielded; the others are dropped.
     """
     m, words = len(pattern), (len(pattern) + 63) // 64
     one, top = np.uint64(1), np.uint64(1 << 63)
     symbols, code = np.unique(np.concatenate([pattern, text]), return_inverse=True)
-    equal = np.zeros((len(symbols), words), np.uint64)
+    equal = np.zeros((words, len(symbols)), np.uint64)
     for i, c in enumerate(code[:m]):
-        equal[c, i // 64] |= one << np.uint64(i % 64)
+        equal[i // 64, c] |= one << np.uint64(i % 64)
     code = code[m:]
     plus = np.full((words, len(starts)), ~np.uint64(0))
     minus = np.zeros((words, len(starts)), np.uint64)
-    last = one << np.uint64((m - 1) % 64)
+    last = np.uint64((m - 1) % 64)
     score = np.full(len(starts), m, np.int64)
     for w in range(longest):
+        keep = needed(w + 1)
+        if keep is not None:
+            starts, plus, minus, score = starts[keep], plus[:, keep], minus[:, keep], score[keep]
+            if not len(starts):
+                return
         symbol = code[np.minimum(starts + w, len(code) - 1)]
-        carry_plus, carry_minus = np.full(len(starts), one), np.zeros(len(starts), np.uint64)
+        carry_plus = carry_minus = None
         for k in range(words):
-            pv, mv, eq = plus[k], minus[k], equal[symbol, k]
+            pv, mv, eq = plus[k], minus[k], equal[k][symbol]
             xv = eq | mv
-            eq = eq | carry_minus
+            if carry_minus is not None:
+                eq = eq | carry_minus
             xh = (((eq & pv) + pv) ^ pv) | eq
             ph, mh = mv | ~(xh | pv), pv & xh
             if k == words - 1:
-                score += ((ph & last) != 0).astype(np.int64) - ((mh & last) != 0)
-            out_plus, out_minus = ((ph & top) != 0).astype(np.uint64), ((mh & top) != 0).astype(np.uint64)
-            ph, mh = (ph << one) | carry_plus, (mh << one) | carry_minus
+                score = score + ((ph >> last) & one).view(np.int64) - ((mh >> last) & one).view(np.int64)
+            else:
+                out_plus, out_minus = ph >> np.uint64(63), mh >> np.uint64(63)
+            ph, mh = (ph << one) | (one if carry_plus is None else carry_plus), mh << one
+            if carry_minus is not None:
+                mh |= carry_minus
             plus[k], minus[k] = mh | ~(xv | ph), ph & xv
-            carry_plus, carry_minus = out_plus, out_minus
-        yield w + 1, score
+            if k < words - 1:
+                carry_plus, carry_minus = out_plus, out_minus
+        yield starts, score
 
 
-def best_window(claim: str, source: str) -> tuple[float, int, int]:
-    """(similarity, start, length) of the window of the normalised source nearest to the normalised claim.
+def _grams(x: np.ndarray) -> np.ndarray:
+    return x[:-2].astype(np.int32) << 14 | x[1:-1].astype(np.int32) << 7 | x[2:]
+
+
+def _together(claim: np.ndarray, sources: list[np.ndarray]) -> list[tuple[float, int, int]]:
+    m = len(claim)
+    low, high = max(1, int(m * LOW)), int(np.ceil(m * HIGH))
+    text = np.concatenate([np.append(s, 0) for s in sources])  # a zero ends each source and is in no claim
+    size = np.array([len(s) for s in sources])
+    begin = np.cumsum(size + 1) - size - 1
+    wanted = np.unique(_grams(claim))
+    hits = np.zeros(len(text) + 1, np.int64)
+    np.cumsum(np.isin(_grams(text), wanted), out=hits[1 : len(text) - 1])
+    hits[len(text) - 1 :] = hits[len(text) - 2] if len(text) > 2 else 0
+    # the step of a window is a tenth of it: a start matters up to the longest window whose step divides its place
+    place = np.concatenate([np.arange(max(0, n - low + 1)) for n in size])
+    own = np.repeat(np.arange(len(size)), np.maximum(0, size - low + 1))
+    reach = np.zeros(len(place), np.int64)
+    for step in range(max(1, low // 10), max(1, high // 10) + 1):
+        reach[place % step == 0] = min(high, 10 * step + 9)
+    reach = np.minimum(reach, size[own] - place)
+    start = begin[own] + place
+    most = hits[np.minimum(start + np.maximum(reach - 2, 0), len(hits) - 1)] - hits[start]
+    live = np.flatnonzero((reach >= low) & (most / len(wanted) >= GATE))
+    place, own, reach, start = place[live], own[live], reach[live], start[live]
+    found = [(0.0, -1, 0)] * len(sources)
+    if not len(start):
+        return found
+    best = np.zeros(len(sources))
+    held = [place, own, reach]
+
+    def needed(w):
+        if w % 10 and w > low:
+            return None
+        keep = held[2] >= w
+        if keep.all():
+            return None
+        held[:] = [x[keep] for x in held]
+        return keep
+
+    for w, (at, distance) in enumerate(_steps(claim, text, start, high, needed), 1):
+        if w < low:
+            continue
+        place, own, reach = held
+        ok = np.flatnonzero((place % max(1, w // 10) == 0) & (reach >= w))
+        ok = ok[(hits[at[ok] + max(w - 2, 0)] - hits[at[ok]]) / len(wanted) >= GATE]
+        if not len(ok):
+            continue
+        d, of = distance[ok], own[ok]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        least = np.minimum.reduceat(d, first)
+        similarity = 1 - least / max(m, w)
+        for j in np.flatnonzero(similarity > best[of[first]]):
+            stop = first[j + 1] if j + 1 < len(first) else len(d)
+            k = first[j] + int(d[first[j] : stop].argmin())
+            best[of[k]] = similarity[j]
+            found[of[k]] = (float(similarity[j]), int(place[ok[k]]), w)
+    return found
+
+
+def best_windows(claim: str, sources: list[str]) -> list[tuple[float, int, int]]:
+    """(similarity, start, length), for each normalised source, of its window nearest to the normalised claim.
 
     Windows of 0.6 to 1.5 times the claim's length, every tenth of a window; those that hold few of the claim's
     trigrams do not count. The first best wins, shorter windows before longer ones. (0, -1, 0) if none counts.
     """
-    m, n = len(claim), len(source)
-    none = (0.0, -1, 0)
-    if not m or not n or m > 2 * n or m < 3:
-        return none
-    c, s = (np.frombuffer(x.encode("ascii"), np.uint8) for x in (claim, source))
-    low, high = max(1, int(m * LOW)), min(int(np.ceil(m * HIGH)), n)
-    if low > high:
-        return none
-    gram = lambda x: x[:-2].astype(np.int32) << 14 | x[1:-1].astype(np.int32) << 7 | x[2:]
-    wanted = np.unique(gram(c))
-    hits = np.concatenate([[0], np.cumsum(np.isin(gram(s), wanted))]) if n >= 3 else np.zeros(1, int)
-    # a start counts if any of its windows can: the widest one holds the most trigrams
-    starts = np.arange(n - low + 1)
-    reach = np.minimum(np.maximum(starts + high - 2, starts), len(hits) - 1)
-    starts = starts[(hits[reach] - hits[np.minimum(starts, len(hits) - 1)]) / len(wanted) >= GATE] if n >= 3 else starts[:0]
-    if not len(starts):
-        return none
-    best = none
-    for w, distance in prefix_distances(c, s, starts, high):
-        if w < low:
-            continue
-        step = max(1, w // 10)
-        end = np.minimum(starts + max(w - 2, 0), len(hits) - 1)
-        ok = (starts % step == 0) & (starts + w <= n) & ((hits[end] - hits[np.minimum(starts, len(hits) - 1)]) / len(wanted) >= GATE)
-        if not ok.any():
+    m = len(claim)
+    out = [(0.0, -1, 0)] * len(sources)
+    todo, held = [], 0
+    c = np.frombuffer(claim.encode("ascii"), np.uint8)
+
+    def flush():
+        for i, r in zip(todo, _together(c, [np.frombuffer(sources[i].encode("ascii"), np.uint8) for i in todo])):
+            out[i] = r
+        todo.clear()
+
+    for i, s in enumerate(sources):
+        if m < 3 or not s or m > 2 * len(s) or max(1, int(m * LOW)) > len(s):
             continue
-        at = np.flatnonzero(ok)
-        k = at[distance[at].argmin()]
-        similarity = 1 - int(distance[k]) / max(m, w)
-        if similarity > best[0]:
-            best = (similarity, int(starts[k]), w)
-    return best
+        todo.append(i)
+        held += len(s)
+        if held >= STARTS:
+            flush()
+            held = 0
+    if todo:
+        flush()
+    return out
+
+
+def best_window(claim: str, source: str) -> tuple[float, int, int]:
+    """best_windows of one source."""
+    return best_windows(claim, [source])[0]

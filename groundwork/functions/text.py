@@ -85,6 +85,25 @@ def ngram_overlap(claim: str, source: str) -> str:
     return f"case when size({claim}) = 0 or size({source}) = 0 then 0D else 0.6D * ({parts}) + 0.4D * {containment(claim, source)} end"
 
 
+def jaccard_of(a: str, b: str) -> str:
+    """Jaccard similarity of two arrays without repeats; the intersection is taken once."""
+    return f"transform(array(size(array_intersect({a}, {b}))), i -> coalesce(try_divide(cast(i as double), size({a}) + size({b}) - i), 0D))[0]"
+
+
+def containment_of(claim: str, distinct: str, source: str) -> str:
+    """The share of claim tokens, with repeats, that the source has; distinct and source are without repeats."""
+    return (
+        f"transform(array(array_intersect({distinct}, {source})), both -> coalesce(try_divide(cast(case when size({claim}) = size({distinct}) then size(both) "
+        f"else size(filter({claim}, t -> array_contains(both, t))) end as double), size({claim})), 0D))[0]"
+    )
+
+
+def ngram_overlap_of(c: str, s: str) -> str:
+    """ngram_overlap over prepared columns: c0, the claim's tokens, and c1 to c3 and s1 to s3, distinct 1- to 3-grams."""
+    parts = " + ".join(f"{w}D * {jaccard_of(f'{c}{n}', f'{s}{n}')}" for n, w in ((1, 0.2), (2, 0.3), (3, 0.5)))
+    return f"case when size({c}1) = 0 or size({s}1) = 0 then 0D else 0.6D * ({parts}) + 0.4D * {containment_of(f'{c}0', f'{c}1', f'{s}1')} end"
+
+
 def cosine(a: str, b: str) -> str:
     """Cosine of two arrays of doubles; 0 if lengths differ, or one is empty or zero."""
     dot = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> double(p) * double(q)), 0D, (s, v) -> s + v)"

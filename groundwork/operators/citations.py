@@ -10,9 +10,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..options import CitationPattern, CiteOptions
 
@@ -21,10 +23,12 @@ _W = "[\\t\\n\\x0b\\f\\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 _N = _W.replace("[", "[^", 1)
 _I = re.ASCII | re.IGNORECASE
 RANGE_WIDTH = 20
-#: (format, pattern, ids of a match) in order of priority; formats whose ids share one span come as lists.
+#: Numbers of more digits make no range: they are not told apart exactly by those who count in doubles.
+RANGE_DIGITS = 15
+#: Fixed values: (format, pattern, ids of a match) in order of priority; formats whose ids share one span come as lists.
 DETECTORS = [
     ("footnote", re.compile(r"\[\^(\d+)\]|\^\[(\d+)\]|\^(\d+)(?=\W|\Z)", re.A), lambda m: [m[m.lastindex]]),
-    ("numbered", re.compile(rf"\[(\d+){_W}*-{_W}*(\d+)\]", re.A), lambda m: _range(int(m[1]), int(m[2]))),
+    ("numbered", re.compile(rf"\[(\d+){_W}*-{_W}*(\d+)\]", re.A), lambda m: _range(m[1], m[2])),
     ("numbered", re.compile(rf"\[(\d+(?:{_W}*,{_W}*\d+)+)\]", re.A), lambda m: re.findall(r"\d+", m[1], re.A)),
     ("numbered", re.compile(rf"\[(?:Source|Ref){_W}+(\d+)\]", _I), lambda m: [m[1]]),
     ("numbered", re.compile(r"\[(\d+)\]", re.A), lambda m: [m[1]]),
@@ -45,7 +49,10 @@ def _strip(s: str) -> str:
     return _EDGE.sub("", s)
 
 
-def _range(low: int, high: int) -> list[str]:
+def _range(first: str, last: str) -> list[str]:
+    if max(len(first.lstrip("0")), len(last.lstrip("0"))) > RANGE_DIGITS:
+        return []
+    low, high = int(first), int(last)
     return [str(n) for n in range(low, high + 1)] if 0 <= high - low < RANGE_WIDTH else []
 
 
@@ -103,9 +110,13 @@ def detect(text: str, patterns: tuple[CitationPattern, ...] = ()) -> list[tuple]
     return out
 
 
-def utf16(text: str, offset: int) -> int:
-    """The offset in UTF-16 units."""
-    return offset if text.isascii() else len(text[:offset].encode("utf-16-le", "surrogatepass")) // 2
+def utf16(text: str):
+    """A function that gives the place in UTF-16 units of a place in code points of the text, from one table."""
+    if text.isascii():
+        return lambda place: place
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    table = np.concatenate([[0], np.cumsum(1 + (points > 0xFFFF))])
+    return lambda place: int(table[place])
 
 
 SCHEMA = "response_id {}, cit_idx long, format string, id string, start long, end long, covered_text string, covered_start long"
@@ -120,8 +131,9 @@ def parse(responses: DataFrame, options: CiteOptions = CiteOptions()) -> DataFra
             rows = []
             for key, value in zip(batch.column(0), batch.column(1)):
                 text = value.as_py() or ""
+                at = utf16(text)
                 for i, (kind, name, a, b, covered, begin) in enumerate(detect(text, patterns)):
-                    rows.append((key, i, kind, name, utf16(text, a), utf16(text, b), covered, utf16(text, begin)))
+                    rows.append((key, i, kind, name, at(a), at(b), covered, at(begin)))
             kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
             columns = list(zip(*rows)) if rows else [[]] * 8
             columns[0] = [x.as_py() for x in columns[0]]
@@ -137,28 +149,51 @@ RULES = {
     3: "c.format in ('numbered', 'footnote') and s.source_pos = try_cast(c.id as bigint)",
     4: "c.format = 'parenthetical' and s.source_pos = try_cast(regexp_extract(c.id, '^\\\\s*(\\\\d+)', 1) as bigint)",
     5: "c.format = 'named' and lower(s.source_id) = lower(c.id)",
-    6: "c.format = 'named' and lower(s.metadata.title) = lower(c.id)",
-    7: "c.format = 'named' and s.metadata.title <> '' and (contains(lower(s.metadata.title), lower(c.id)) or contains(lower(c.id), lower(s.metadata.title)))",
-    8: "c.format = 'parenthetical' and c.id rlike '^.+?\\\\s+\\\\d{4}$' and contains(lower(s.metadata.author), lower(regexp_extract(c.id, '^(.+?)\\\\s+(\\\\d{4})$', 1))) and s.metadata.year = regexp_extract(c.id, '^(.+?)\\\\s+(\\\\d{4})$', 2)",
-    9: "c.format = 'url' and s.metadata.url = c.id",
-    10: "c.format = 'url' and s.metadata.url <> '' and (contains(s.metadata.url, c.id) or contains(c.id, s.metadata.url))",
+    6: "c.format = 'named' and lower(s._title) = lower(c.id)",
+    7: "c.format = 'named' and s._title <> '' and (contains(lower(s._title), lower(c.id)) or contains(lower(c.id), lower(s._title)))",
+    8: "c.format = 'parenthetical' and c.id rlike '^.+?\\\\s+\\\\d{4}$' and contains(lower(s._author), lower(regexp_extract(c.id, '^(.+?)\\\\s+(\\\\d{4})$', 1))) and s._year = regexp_extract(c.id, '^(.+?)\\\\s+(\\\\d{4})$', 2)",
+    9: "c.format = 'url' and s._url = c.id",
+    10: "c.format = 'url' and s._url <> '' and (contains(s._url, c.id) or contains(c.id, s._url))",
     11: "s.source_id = c.id",
 }
 
 
-def resolve(citations: DataFrame, sources: DataFrame, options: CiteOptions = CiteOptions()) -> DataFrame:
+METADATA = ("title", "author", "year", "url")
+
+
+def metadata_of(sources: DataFrame) -> list:
+    """_title, _author, _year and _url of sources, as text: metadata is a struct with any of them, a map, a JSON text or
+    missing. What is not there is null."""
+    kind = next((f.dataType for f in sources.schema.fields if f.name == "metadata"), None)
+    out = []
+    for name in METADATA:
+        if isinstance(kind, T.StructType) and name in kind.names:
+            value = F.col(f"metadata.`{name}`").cast("string")
+        elif isinstance(kind, T.MapType):
+            value = F.try_element_at("metadata", F.lit(name)).cast("string")
+        elif isinstance(kind, T.StringType):
+            value = F.get_json_object("metadata", f"$.{name}")
+        else:
+            value = F.lit(None).cast("string")
+        out.append(value.alias(f"_{name}"))
+    return out
+
+
+def resolve(citations: DataFrame, sources: DataFrame, options: CiteOptions = CiteOptions(), key: str = "response_id") -> DataFrame:
     """citations with resolved_pos and resolved_id, null where no source is meant.
 
-    sources(response_id, source_pos from 1, source_id, metadata struct<title, author, year, url: string>). An id in
-    the source map means its target, or nothing.
+    sources(key, source_pos from 1, source_id[, metadata]); metadata_of says what metadata can be, other columns are
+    ignored. An id in the source map means its target, or nothing. citations hold the key too.
     """
     rule = "case " + " ".join(f"when {p} then {n}" for n, p in RULES.items()) + " end"
+    own = citations
     if options.source_map:
         pairs = F.create_map(*(F.lit(x) for kv in options.source_map.items() for x in kv))
-        citations = citations.withColumn("_mapped", F.try_element_at(pairs, "id"))
+        own = own.withColumn("_mapped", F.try_element_at(pairs, "id"))
         rule = f"case when c._mapped is not null then case when s.source_id = c._mapped then 1 end else {rule} end"
-    key = ["response_id", "cit_idx"]
-    pairs = citations.alias("c").join(sources.alias("s"), "response_id").select("response_id", "c.cit_idx", "s.source_pos", "s.source_id", F.expr(rule).alias("_rule"))
-    best = pairs.where("_rule is not null").groupBy(*key).agg(F.min(F.struct("_rule", "source_pos", "source_id")).alias("_best"))
-    out = citations.join(best, key, "left").withColumn("resolved_pos", F.col("_best.source_pos")).withColumn("resolved_id", F.col("_best.source_id"))
-    return out.drop("_best", "_mapped")
+    place = ["response_id", "cit_idx"]
+    from_ = sources.select(F.col(key).alias("_key"), F.col("source_pos").cast("long").alias("source_pos"), F.col("source_id").cast("string").alias("source_id"), *metadata_of(sources))
+    pairs = own.withColumn("_key", F.col(key)).alias("c").join(from_.alias("s"), "_key").select("c.response_id", "c.cit_idx", "s.source_pos", "s.source_id", F.expr(rule).alias("_rule"))
+    best = pairs.where("_rule is not null").groupBy(*place).agg(F.min(F.struct("_rule", "source_pos", "source_id")).alias("_best"))
+    out = citations.join(best, place, "left").withColumn("resolved_pos", F.col("_best.source_pos")).withColumn("resolved_id", F.col("_best.source_id"))
+    return out.drop("_best")

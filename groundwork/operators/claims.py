@@ -131,7 +131,8 @@ def split(responses: DataFrame, granularity: str = "sentence") -> DataFrame:
             rows = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = value.as_py() or ""
-                rows += [(key, i, s, utf16(text, a), utf16(text, b)) for i, (s, a, b) in enumerate(segments(text, granularity))]
+                at = utf16(text)
+                rows += [(key, i, s, at(a), at(b)) for i, (s, a, b) in enumerate(segments(text, granularity))]
             kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.int64()]
             columns = zip(*rows) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["response_id", "seg_seq", "segment", "start", "end"])

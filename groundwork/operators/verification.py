@@ -71,8 +71,8 @@ def response_scores(responses: DataFrame, reports: DataFrame, verifications: Dat
 
 def annotate(responses: DataFrame, reports: DataFrame) -> DataFrame:
     """(response_id, text, inserted): grounded factual claims without citations get ` [source]` before their final
-    mark. Insertions of a response fold from the left over its pieces."""
-    todo = reports.where("is_factual and is_grounded and not has_citations").select("response_id", F.struct(F.col("end").cast("int").alias("end"), "claim_idx", "primary_id").alias("x"))
+    mark; a source without id gives none. Insertions of a response fold from the left over its pieces."""
+    todo = reports.where("is_factual and is_grounded and not has_citations and primary_id is not null").select("response_id", F.struct(F.col("end").cast("int").alias("end"), "claim_idx", "primary_id").alias("x"))
     held = responses.select("response_id", "response").join(todo.groupBy("response_id").agg(F.array_sort(F.collect_list("x")).alias("xs")), "response_id", "left")
 
     # ends count UTF-16 units, as all offsets do

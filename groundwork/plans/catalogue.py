@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import engine
 from ..functions import text as X
-from ..operators import attribution, citations, claims, verification
+from ..operators import attribution, citations, claims
 from ..options import CiteOptions
-from ..sources.tables import benchmark_responses, benchmark_sources, document_sources, table
+from ..sources.tables import benchmark_responses, document_sources, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,10 +73,12 @@ def doc_frequency_idf(spark, sf_dir):
         round(CASE WHEN len(ct) = 0 OR len(st) = 0 THEN 0 ELSE 0.6::DOUBLE * (0.2::DOUBLE * j1 + 0.3::DOUBLE * j2 + 0.5::DOUBLE * j3) + 0.4::DOUBLE * k END, 9) AS overlap FROM j""")
 def ngram_similarity(spark, sf_dir):
     """Jaccard of 1- to 3-grams, containment and their blend for all pairs of a passage and its sources."""
-    c = benchmark_responses(spark, sf_dir).select(F.col("response_id").alias("item_id"), "grp", F.expr(X.tokenize_filtered("response")).alias("ct"))
-    s = document_sources(spark, sf_dir).select("grp", F.col("source_id").cast("long").alias("doc_id"), F.expr(X.tokenize_filtered("content")).alias("st"))
-    j = lambda n: F.round(F.expr(X.jaccard(X.ngrams("ct", n), X.ngrams("st", n))), 9).alias(f"j{n}")
-    return c.join(s, "grp").select("item_id", "doc_id", j(1), j(2), j(3), F.round(F.expr(X.containment("ct", "st")), 9).alias("containment"), F.round(F.expr(X.ngram_overlap("ct", "st")), 9).alias("overlap"))
+    grams = lambda side: [F.expr(f"array_distinct(transform({X.ngrams('t', n)}, g -> xxhash64(g)))").alias(f"{side}{n}") for n in (1, 2, 3)]
+    c = benchmark_responses(spark, sf_dir).select(F.col("response_id").alias("item_id"), "grp", F.expr(X.tokenize_filtered("response")).alias("t"))
+    c = c.select("item_id", "grp", F.expr("transform(t, w -> xxhash64(w))").alias("c0"), *grams("c"))
+    s = table(spark, sf_dir, "documents").select(F.col("source").alias("grp"), "doc_id", F.expr(X.tokenize_filtered("text")).alias("t")).select("grp", "doc_id", *grams("s"))
+    j = lambda n: F.round(F.expr(X.jaccard_of(f"c{n}", f"s{n}")), 9).alias(f"j{n}")
+    return c.join(s, "grp").select("item_id", "doc_id", j(1), j(2), j(3), F.round(F.expr(X.containment_of("c0", "c1", "s1")), 9).alias("containment"), F.round(F.expr(X.ngram_overlap_of("c", "s")), 9).alias("overlap"))
 
 
 @_query(f"""WITH {_PAIRS}, n AS (SELECT grp, count(*) AS n FROM s GROUP BY grp),
@@ -89,20 +91,20 @@ def ngram_similarity(spark, sf_dir):
     SELECT c.item_id, s.doc_id, round(coalesce(v / (cn.l * sn2.l), 0), 6) AS tfidf FROM c JOIN s USING (grp) LEFT JOIN dot ON dot.item_id = c.item_id AND dot.doc_id = s.doc_id LEFT JOIN cn ON cn.item_id = c.item_id LEFT JOIN sn2 ON sn2.doc_id = s.doc_id""")
 def tfidf_cosine(spark, sf_dir):
     """TF-IDF cosine for all pairs of a passage and its sources, by sparse vectors joined on terms."""
-    c = benchmark_responses(spark, sf_dir).select(F.col("grp").alias("response_id"), F.col("response_id").alias("item_id"), F.expr(X.tokenize_filtered("response")).alias("tokens"))
-    s = document_sources(spark, sf_dir).select(F.col("grp").alias("response_id"), F.col("source_id").cast("long").alias("doc_id"), F.expr(X.tokenize_filtered("content")).alias("tokens"))
-    weights = attribution.idf(s)
-    cv = attribution.weighted(c, ["response_id", "item_id"], weights).withColumnsRenamed({"vector": "cv", "norm": "cl"})
-    sv = attribution.weighted(s, ["response_id", "doc_id"], weights).withColumnsRenamed({"vector": "sv", "norm": "sl"})
-    dot = "aggregate(map_keys(cv), 0D, (a, t) -> a + cv[t] * coalesce(try_element_at(sv, t), 0D))"
-    pairs = c.drop("tokens").join(s.drop("tokens"), "response_id").join(cv, ["response_id", "item_id"], "left").join(sv, ["response_id", "doc_id"], "left")
-    return pairs.select("item_id", "doc_id", F.expr(f"round(coalesce(try_divide({dot}, cl * sl), 0D), 6)").alias("tfidf"))
+    c = benchmark_responses(spark, sf_dir).select(F.col("grp").alias("_key"), "response_id", F.lit(0).alias("claim_idx"), F.expr(X.tokenize_filtered("response")).alias("tokens"))
+    s = table(spark, sf_dir, "documents").select(F.col("source").alias("_key"), F.col("doc_id").alias("source_pos"), F.expr(X.tokenize_filtered("text")).alias("tokens"))
+    found, c_norms, s_norms = attribution._products(c, s)
+    dots = found.join(c_norms, ["response_id", "claim_idx"]).join(s_norms.drop("_key"), "source_pos")
+    dots = dots.select("response_id", "source_pos", F.expr("coalesce(try_divide(_dot, _lc * _ls), 0D)").alias("v"))
+    pairs = c.select("_key", "response_id").join(s.select("_key", "source_pos"), "_key").join(dots, ["response_id", "source_pos"], "left")
+    return pairs.select(F.col("response_id").alias("item_id"), F.col("source_pos").alias("doc_id"), F.expr("round(coalesce(v, 0D), 6)").alias("tfidf"))
 
 
 @_query(f"""WITH b AS (SELECT item_id, {_NORM.format('text')} AS cn FROM benchmark), d AS (SELECT doc_id, {_NORM.format('text')} AS sn FROM documents)
     SELECT item_id, cast(count(doc_id) AS BIGINT) AS n_docs, count(doc_id) > 0 AS is_grounded FROM b LEFT JOIN d ON cn <> '' AND contains(sn, cn) GROUP BY item_id""")
 def exact_containment(spark, sf_dir):
-    """Documents that hold a passage, after normalisation. Candidates meet on the passage's first words."""
+    """Documents that hold a passage, after normalisation. Candidates meet on the passage's first words, those of short
+    passages on their first letters."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.expr(X.normalize("text")).alias("cn"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.expr(X.normalize("text")).alias("sn"))
     # inside a text a passage begins anywhere, but its second to sixth words stand there whole
@@ -111,7 +113,11 @@ def exact_containment(spark, sf_dir):
     grams = d.select("doc_id", F.explode(F.array_distinct(F.expr(X.ngrams("split(sn, ' ')", 5)))).alias("key"))
     near = keyed.where("key is not null").join(grams, "key").select("item_id", "doc_id", "cn")
     hits = near.join(d, "doc_id").where("contains(sn, cn)").select("item_id", "doc_id")
-    short = keyed.where("key is null and cn <> ''").join(d, F.expr("contains(sn, cn)")).select("item_id", "doc_id")
+    # shorter ones need not hold a whole word: their first three letters, of which there are few, pick the documents
+    brief = keyed.where("key is null and cn <> ''").select("item_id", "cn", F.expr("substr(cn, 1, 3)").alias("head"))
+    heads = brief.agg(F.collect_set("head").alias("heads"))  # one row of at most 37 + 37**2 + 37**3 heads
+    tried = d.join(F.broadcast(heads)).select("doc_id", "sn", F.explode(F.expr("filter(heads, h -> contains(sn, h))")).alias("head"))
+    short = tried.join(brief, "head").where("contains(sn, cn)").select("item_id", "doc_id")
     return b.select("item_id").join(hits.unionByName(short), "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("n_docs"), (F.count("doc_id") > 0).alias("is_grounded"))
 
 
@@ -138,13 +144,18 @@ def embedding_cosine_topk(spark, sf_dir):
     return p.withColumn("rank", rank.cast("long")).where("rank <= 10")
 
 
-@_query(f"""WITH {_PAIRS}, p AS (SELECT item_id, source_pos, len(list_filter(st, lambda t: list_contains(ct, t))) AS shared, count(*) OVER (PARTITION BY item_id) AS n FROM c JOIN s USING (grp)),
+@_query(f"""WITH s AS (SELECT cast(substr(source, 4) AS BIGINT) % 10 AS grp, doc_id, {_KEPT.format('text')} AS st FROM documents),
+    t AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id) AS source_pos, count(*) OVER (PARTITION BY grp) AS n FROM s),
+    p AS (SELECT item_id, source_pos, n, len(list_filter(st, lambda t: list_contains({_KEPT.format('text')}, t))) AS shared FROM benchmark JOIN t ON grp = item_id % 10),
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN n > 50 THEN shared ELSE 0 END DESC, source_pos) AS k FROM p)
     SELECT item_id AS claim_id, cast(source_pos AS BIGINT) AS source_pos, cast(CASE WHEN n > 50 THEN shared ELSE 0 END AS BIGINT) AS shared FROM r WHERE k <= 50 OR n <= 50""")
 def candidate_prefilter(spark, sf_dir):
-    c = benchmark_responses(spark, sf_dir).select("response_id", F.lit(0).alias("claim_idx"), F.expr(X.tokenize_filtered("response")).alias("tokens"))
-    s = benchmark_sources(spark, sf_dir).withColumn("tokens", F.expr(X.tokenize_filtered("content")))
-    kept = attribution.candidates(c, s, CiteOptions())
+    """The 50 sources that share most tokens with a claim, where a corpus has more than 50 (two groups of documents)."""
+    c = table(spark, sf_dir, "benchmark").select(F.expr("item_id % 10").alias("corpus_id"), F.col("item_id").alias("response_id"), F.lit(0).alias("claim_idx"), F.expr(X.tokenize_filtered("text")).alias("tokens"))
+    d = table(spark, sf_dir, "documents").select(F.expr("cast(substr(source, 4) as bigint) % 10").alias("corpus_id"), "doc_id", "text")
+    places = d.select("doc_id", F.row_number().over(Window.partitionBy("corpus_id").orderBy("doc_id")).alias("source_pos"))
+    s = d.join(places, "doc_id").select("corpus_id", "source_pos", F.expr(X.tokenize_filtered("text")).alias("tokens"))
+    kept = attribution.candidates(c, s, CiteOptions(), "corpus_id")
     return kept.select(F.col("response_id").alias("claim_id"), F.col("source_pos").cast("long").alias("source_pos"), F.col("shared").cast("long").alias("shared"))
 
 
@@ -181,8 +192,8 @@ def covered_text(spark, sf_dir):
 def citation_resolution(spark, sf_dir):
     """Numbers by id first, then by position."""
     r = benchmark_responses(spark, sf_dir).withColumn("response", F.expr("concat(response, ' [', response_id % 9 + 1, ']')"))
-    s = benchmark_sources(spark, sf_dir).withColumn("metadata", F.expr("cast(null as struct<title: string, author: string, year: string, url: string>)"))
-    return citations.resolve(citations.parse(r), s).select("response_id", "resolved_id")
+    found = citations.parse(r).join(r.select("response_id", "grp"), "response_id")
+    return citations.resolve(found, document_sources(spark, sf_dir), key="grp").select("response_id", "resolved_id")
 
 
 @_query(r"""WITH p AS (SELECT conv_id * 100000 + turn AS response_id, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS parts FROM conversations)
@@ -196,16 +207,6 @@ def _turns(spark, sf_dir) -> DataFrame:
     return rows.select((F.col("conv_id") * 100000 + F.col("turn")).alias("response_id"), F.col("text").alias("response"))
 
 
-@_query()
-def sentence_split(spark, sf_dir):
-    return claims.extract(_turns(spark, sf_dir)).select("response_id", "claim_idx", "text", "start", "end", "is_factual")
-
-
-@_query()
-def clause_split(spark, sf_dir):
-    return claims.extract(_turns(spark, sf_dir), "clause").select("response_id", "claim_idx", "text", "start", "end")
-
-
 @_query(r"""SELECT item_id, regexp_replace(regexp_replace('See [3] (Smith, 2020) ' || text || ' ^4 [Source: a b] end [^2].', '\[\^?\d+\]|\^\d+|\[Source:\s*[^\]]+\]|\([A-Z][a-z]+(?:\s+et\s+al\.?)?,?\s*\d{4}\)', '', 'g'), '\s{2,}', ' ', 'g') AS stripped FROM benchmark""")
 def strip_markers(spark, sf_dir):
     whole = "concat('See [3] (Smith, 2020) ', text, ' ^4 [Source: a b] end [^2].')"
@@ -219,44 +220,16 @@ def factual_filter(spark, sf_dir):
     return rows.select("item_id", "r.k", F.expr(X.factual("r.x")).alias("is_factual"))
 
 
-def _report(spark, sf_dir) -> engine.CitationReport:
-    r = benchmark_responses(spark, sf_dir).withColumn("response", F.expr("concat(rtrim('.', response), ' [', response_id % 9 + 1, '].')"))
-    return engine.cite(r.select("response_id", "response"), benchmark_sources(spark, sf_dir))
-
-
 @_query()
 def attribution_rank(spark, sf_dir):
-    """All strategy scores, confidence, match type and rank of every claim and candidate."""
-    out = _report(spark, sf_dir).attributions
-    return out.select("response_id", "claim_idx", "source_pos", *(F.round(c, 9).alias(c) for c in (*attribution.STRATEGIES, "confidence")), "primary_match_type", "rank")
-
-
-@_query()
-def citation_verification(spark, sf_dir):
-    return _report(spark, sf_dir).verifications.select("response_id", "claim_idx", "cit_idx", "state", "resolved_id")
-
-
-@_query()
-def response_scores(spark, sf_dir):
-    return _report(spark, sf_dir).scores
-
-
-@_query()
-def batch_quality(spark, sf_dir):
-    """Corpus averages; accuracy of responses without verifications is left out."""
-    scores = _report(spark, sf_dir).scores
-    return scores.agg(*(F.round(F.avg(c), 9).alias(c) for c in ("grounding", "accuracy", "coverage", "faithfulness", "quality")), F.sum("phantom_count").alias("phantom"))
+    """All strategy scores, confidence, match type and rank of every claim of a passage and candidate document. The
+    documents of a source are one corpus, prepared once for all passages that it judges."""
+    r = benchmark_responses(spark, sf_dir).withColumn("response", F.expr("concat(rtrim('.', response), ' [', response_id % 9 + 1, '].')"))
+    out = engine.cite(r.withColumnRenamed("grp", "corpus_id"), document_sources(spark, sf_dir).withColumnRenamed("grp", "corpus_id")).attributions
+    return _ranked(out)
 
 
-@_query()
-def annotate_response(spark, sf_dir):
-    annotated, _ = engine.attribute(benchmark_responses(spark, sf_dir).select("response_id", "response"), benchmark_sources(spark, sf_dir))
-    return annotated.select("response_id", "text", F.size("inserted").cast("long").alias("n_inserted"))
+def _ranked(out: DataFrame) -> DataFrame:
+    return out.select("response_id", "claim_idx", F.col("source_pos").cast("long").alias("source_pos"), *(F.round(c, 6).alias(c) for c in (*attribution.STRATEGIES, "confidence")), "primary_match_type", F.col("rank").cast("long").alias("rank"))
 
 
-@_query("""WITH d AS (SELECT doc_id, text FROM documents) SELECT doc_id AS response_id, 0::BIGINT AS cit_idx FROM d""")
-def claim_citation_join(spark, sf_dir):
-    """A marker at the end of a text belongs to its last sentence alone."""
-    r = _marked(spark, sf_dir, "' Last words [', doc_id % 7, ']'")
-    pairs = verification.attach(claims.extract(r), citations.parse(r))
-    return pairs.select("response_id", "cit_idx").distinct()
