@@ -85,23 +85,27 @@ def ngram_overlap(claim: str, source: str) -> str:
     return f"case when size({claim}) = 0 or size({source}) = 0 then 0D else 0.6D * ({parts}) + 0.4D * {containment(claim, source)} end"
 
 
-def jaccard_of(a: str, b: str) -> str:
-    """Jaccard similarity of two arrays without repeats; the intersection is taken once."""
-    return f"transform(array(size(array_intersect({a}, {b}))), i -> coalesce(try_divide(cast(i as double), size({a}) + size({b}) - i), 0D))[0]"
+def overlaps_of(c: str, s: str) -> dict[str, str]:
+    """Columns i1, the shared 1-grams, and i2 and i3, how many 2- and 3-grams are shared, of c1 to c3 and s1 to s3, which
+    are distinct. The short side is the one that is hashed."""
+    return {"i1": f"array_intersect({s}1, {c}1)"} | {f"i{n}": f"size(array_intersect({s}{n}, {c}{n}))" for n in (2, 3)}
 
 
-def containment_of(claim: str, distinct: str, source: str) -> str:
-    """The share of claim tokens, with repeats, that the source has; distinct and source are without repeats."""
-    return (
-        f"transform(array(array_intersect({distinct}, {source})), both -> coalesce(try_divide(cast(case when size({claim}) = size({distinct}) then size(both) "
-        f"else size(filter({claim}, t -> array_contains(both, t))) end as double), size({claim})), 0D))[0]"
-    )
+def jaccard_of(c: str, s: str, n: int) -> str:
+    """Jaccard similarity of n-grams over prepared columns and overlaps_of."""
+    both = "size(i1)" if n == 1 else f"i{n}"
+    return f"coalesce(try_divide(cast({both} as double), size({c}{n}) + size({s}{n}) - {both}), 0D)"
+
+
+def containment_of(c: str) -> str:
+    """The share of c0, a claim's tokens with repeats, that the source has."""
+    return f"coalesce(try_divide(cast(case when size({c}0) = size({c}1) then size(i1) else size(filter({c}0, t -> array_contains(i1, t))) end as double), size({c}0)), 0D)"
 
 
 def ngram_overlap_of(c: str, s: str) -> str:
-    """ngram_overlap over prepared columns: c0, the claim's tokens, and c1 to c3 and s1 to s3, distinct 1- to 3-grams."""
-    parts = " + ".join(f"{w}D * {jaccard_of(f'{c}{n}', f'{s}{n}')}" for n, w in ((1, 0.2), (2, 0.3), (3, 0.5)))
-    return f"case when size({c}1) = 0 or size({s}1) = 0 then 0D else 0.6D * ({parts}) + 0.4D * {containment_of(f'{c}0', f'{c}1', f'{s}1')} end"
+    """ngram_overlap over prepared columns and overlaps_of."""
+    parts = " + ".join(f"{w}D * {jaccard_of(c, s, n)}" for n, w in ((1, 0.2), (2, 0.3), (3, 0.5)))
+    return f"case when size({c}1) = 0 or size({s}1) = 0 then 0D else 0.6D * ({parts}) + 0.4D * {containment_of(c)} end"
 
 
 def cosine(a: str, b: str) -> str:

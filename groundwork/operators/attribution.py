@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fuzzy import RUN, best_windows, longest_run
-from ..functions.text import cosine, ngram_overlap_of, ngrams, normalize, tokenize_filtered
+from ..functions.text import cosine, ngram_overlap_of, ngrams, normalize, overlaps_of, tokenize_filtered
 from ..options import CiteOptions
 from .citations import _strip, utf16
 
@@ -158,6 +158,7 @@ def score(claims: DataFrame, sources: DataFrame, options: CiteOptions = CiteOpti
     right = s.select(*_SOURCE, "source_id", "content", "_given", F.col("norm_text").alias("s_norm"), *grams("s"))
     pairs = _candidates(c, s, found, options).join(left, ["response_id", "claim_idx"]).join(c_norms, ["response_id", "claim_idx"], "left")
     pairs = pairs.join(right.join(s_norms, _SOURCE, "left"), _SOURCE)
+    pairs = pairs.withColumns({k: F.expr(v) for k, v in overlaps_of("c", "s").items()})
     pairs = pairs.withColumn("ngram", F.expr(ngram_overlap_of("c", "s"))).withColumn("tfidf", F.expr("coalesce(try_divide(_dot, _lc * _ls), 0D)"))
     if options.embedder:
         pairs = pairs.join(_embedded(claims, "text", options.embedder).withColumnRenamed("_embedding", "_claim"), "text", "left")

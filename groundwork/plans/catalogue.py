@@ -77,8 +77,9 @@ def ngram_similarity(spark, sf_dir):
     c = benchmark_responses(spark, sf_dir).select(F.col("response_id").alias("item_id"), "grp", F.expr(X.tokenize_filtered("response")).alias("t"))
     c = c.select("item_id", "grp", F.expr("transform(t, w -> xxhash64(w))").alias("c0"), *grams("c"))
     s = table(spark, sf_dir, "documents").select(F.col("source").alias("grp"), "doc_id", F.expr(X.tokenize_filtered("text")).alias("t")).select("grp", "doc_id", *grams("s"))
-    j = lambda n: F.round(F.expr(X.jaccard_of(f"c{n}", f"s{n}")), 9).alias(f"j{n}")
-    return c.join(s, "grp").select("item_id", "doc_id", j(1), j(2), j(3), F.round(F.expr(X.containment_of("c0", "c1", "s1")), 9).alias("containment"), F.round(F.expr(X.ngram_overlap_of("c", "s")), 9).alias("overlap"))
+    pairs = c.join(s, "grp").withColumns({k: F.expr(v) for k, v in X.overlaps_of("c", "s").items()})
+    j = lambda n: F.round(F.expr(X.jaccard_of("c", "s", n)), 9).alias(f"j{n}")
+    return pairs.select("item_id", "doc_id", j(1), j(2), j(3), F.round(F.expr(X.containment_of("c")), 9).alias("containment"), F.round(F.expr(X.ngram_overlap_of("c", "s")), 9).alias("overlap"))
 
 
 @_query(f"""WITH {_PAIRS}, n AS (SELECT grp, count(*) AS n FROM s GROUP BY grp),
