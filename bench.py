@@ -6,7 +6,6 @@ import time
 
 from pyspark.sql import SparkSession
 
-import groundwork.plans.grounding  # noqa: F401  (adds its queries)
 from groundwork.plans.catalogue import QUERIES
 
 HEADLINE = ["normalize_text", "tokenize_filtered", "exact_containment", "ngram_similarity", "tfidf_cosine", "doc_frequency_idf", "citation_formats", "sentence_split", "embedding_cosine_topk", "attribution_rank"]

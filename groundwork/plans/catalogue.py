@@ -234,3 +234,6 @@ def _ranked(out: DataFrame) -> DataFrame:
     return out.select("response_id", "claim_idx", F.col("source_pos").cast("long").alias("source_pos"), *(F.round(c, 6).alias(c) for c in (*attribution.STRATEGIES, "confidence")), "primary_match_type", F.col("rank").cast("long").alias("rank"))
 
 
+
+
+from . import grounding  # noqa: E402, F401  (adds its queries, which build on what is above)

@@ -159,3 +159,55 @@ def test_sentences_and_clauses_of_all_turns(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     for name in ("sentence_split", "clause_split"):
         assert {r.response_id for r in QUERIES[name](spark, str(tmp_path)).collect()} == {100000, 100001}
+
+
+def test_range_of_very_long_numbers():
+    assert ids("x [" + "1" * 5000 + "-" + "1" * 5000 + "] y [2]") == [("numbered", "2")]
+
+
+@pytest.mark.parametrize(
+    "kind, value",
+    [
+        ("struct<title: string>", ("Wiki A",)),
+        ("struct<pages: int, title: string, year: int>", (3, "Wiki A", 2020)),
+        ("map<string, string>", {"title": "Wiki A"}),
+        ("string", '{"title": "Wiki A"}'),
+    ],
+)
+def test_metadata_of_any_shape_and_clashing_columns(spark, kind, value):
+    r = spark.createDataFrame([(1, "A long fact stands here for all [Wiki A].")], "response_id long, response string")
+    s = spark.createDataFrame(
+        [(1, 1, "a", "Nothing of it.", None, 1, "x", 0.5), (1, 2, None, None, None, 2, "y", 0.5), (1, 3, "c", "A long fact stands here for all.", value, 3, "z", 0.5)],
+        f"response_id long, source_pos int, source_id string, content string, metadata {kind}, shared int, text string, confidence double",
+    )
+    report = cite(r, s)
+    assert [(x.resolved_pos, x.resolved_id) for x in report.citations.collect()] == [(3, "c")]
+    assert [x.state for x in report.verifications.collect()] == ["verified"]
+    assert report.attributions.count() == 3
+
+
+def test_evidence_counts_utf16_units(spark):
+    r = spark.createDataFrame([(1, "Paris is the capital of France.")], "response_id long, response string")
+    s = spark.createDataFrame([(1, 1, "1", "\U0001f600 Paris is the capital of France. ")], "response_id long, source_pos int, source_id string, content string")
+    row = cite(r, s).attributions.first()
+    assert (row.match_offset.start, row.match_offset.end) == (3, 33) and row.match_evidence == "Paris is the capital of France."
+
+
+def test_a_corpus_is_shared_by_responses(spark):
+    r, s = frames(spark, ["Paris is the capital of France [1].", "The Eiffel Tower is located in Paris [1]."])
+    own = cite(r, s)
+    shared = cite(r.selectExpr("*", "'c' as corpus_id"), s.where("response_id = 1").drop("response_id").selectExpr("*", "'c' as corpus_id"))
+    even = lambda v: round(v, 9) if isinstance(v, float) else v  # noqa: E731  (sums come in any order)
+    rows = lambda df: sorted(repr([even(v) for v in r]) for r in df.drop("correct_sources").collect())
+    assert rows(own.attributions) == rows(shared.attributions) and rows(own.scores) == rows(shared.kept().scores)
+    assert rows(own.verifications) == rows(shared.kept().verifications)
+    assert {x.response_id for x in own.to_json().collect()} == {1, 2}
+
+
+def test_many_sources_keep_the_fifty_that_share_most(spark):
+    from groundwork.operators import attribution
+
+    c = spark.createDataFrame([(1, 0, ["a", "b"])], "response_id long, claim_idx long, tokens array<string>")
+    s = spark.createDataFrame([(1, k, ["a"] * (k % 7) + ["z"]) for k in range(1, 71)], "response_id long, source_pos int, tokens array<string>")
+    got = sorted((r.source_pos, r.shared) for r in attribution.candidates(c, s, CiteOptions()).collect())
+    assert got == sorted(sorted(((k, k % 7) for k in range(1, 71)), key=lambda x: (-x[1], x[0]))[:50])
