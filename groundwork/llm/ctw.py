@@ -348,9 +348,9 @@ def score_corpus(docs: DataFrame, block_bytes: int = 24 << 20) -> DataFrame:
     total = text_bytes(docs)
     blocks = total // block_bytes + 1
     buckets = int(min(4096, max(8, 2 * blocks)))
-    own = docs.select("doc_id", held_out().alias("held_out"), "text").withColumn(
-        "block", F.expr(f"cast(pmod(xxhash64(doc_id, text), {blocks}) as int)")
-    )
+    block = F.expr(f"cast(pmod(xxhash64(doc_id, text), {blocks}) as int)")
+    # tasks grow in number with the blocks, not in size
+    own = docs.select("doc_id", held_out().alias("held_out"), "text").withColumn("block", block).repartition(2 * blocks, "block")
     sent = materialised(own.groupBy("block").applyInArrow(_sender(buckets), _SENT))
     sums = (
         sent.groupBy("bucket").applyInArrow(_summary(buckets), "near int, node int, s double, zeros double, ones double")
