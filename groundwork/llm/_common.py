@@ -93,21 +93,24 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 40, salt_rows: int = 65536) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
-    Small-star and large-star rounds alternate until nothing changes. Each round groups by node with partial
-    minima before its shuffle, so a hub with many neighbours costs one row a task; each round's edges are
-    checkpointed. No edge or label ever reaches the driver.
+    Small-star and large-star rounds alternate until nothing changes. The neighbours of a node are dealt to salts, 64 or
+    one for each `salt_rows` edges, and a salt takes the node's minimum from the salts' minima, so a hub is a row a salt
+    wherever rows meet by node. Each round's edges are checkpointed. No edge or label ever reaches the driver.
     """
     e = materialised(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
+    salt = F.pmod(F.xxhash64("v"), F.lit(max(64, e.count() // salt_rows + 1)))
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node is linked to the smallest of its neighbourhood
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("salt", salt)
+        salts = both.groupBy("u", "salt").agg(F.min("v").alias("m"))
+        low = salts.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = salts.select("u", "salt").join(low, "u")
+        large = both.where("v > u").join(low, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # small star: every smaller neighbour, and the node, is linked to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from groundwork.llm import ann_forest, ctw, neardup_graph, ngram_join, packing, pii, secrets, sentencepiece_ac, toxicity, warc
+from groundwork.llm._common import connected_components
 from groundwork.llm._text import U, index
 
 BASE = [f"word{i} alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron number{i}" for i in range(4)]
@@ -466,3 +467,23 @@ def test_oracle_sql_of_secrets_and_vectors(spark, tmp_path):
         columns = [c[0] for c in want.description]
         rows = queries.QUERIES[name](spark, str(tmp_path)).select(columns).collect()
         assert sorted(map(repr, (tuple(r) for r in rows))) == sorted(map(repr, want.fetchall()))
+
+
+def test_components_with_hubs(spark):
+    """Every node gets the smallest that is reachable, also through a hub that is not the smallest and along a chain."""
+    r = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in r.integers(0, 3000, (1500, 2))]
+    pairs += [(5000, i) for i in range(0, 4000, 2)] + [(-7, i) for i in range(1, 800, 4)] + [(i, i + 1) for i in range(6000, 6040)] + [(9, 9), (9000, 9000)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    want = {x: root(x) for a, b in pairs if a != b for x in (a, b)}
+    got = connected_components(spark.createDataFrame(pairs, "a long, b long"), salt_rows=32).collect()
+    assert len(got) == len(want) and {x.node: x.component for x in got} == want
