@@ -93,6 +93,22 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
 
 
+def salts_for(rows: int, salt_rows: int = 65536) -> int:
+    """How many salts the rows of one key are dealt to, if all rows had that key: 64, or one for each `salt_rows`."""
+    return max(64, rows // salt_rows + 1)
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, salts: int) -> DataFrame:
+    """rows joined with groups, which has one row for each value of keys.
+
+    A key's rows are dealt to salts by a hash of column `by`, and its group goes to those salts that hold some, so a
+    key of a third of all rows is as many tasks as there are salts. Rows whose key is null or has no group go.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    held = salted.select(*keys, "_salt").distinct().join(groups, keys)
+    return salted.join(held, [*keys, "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40, salt_rows: int = 65536) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
@@ -103,7 +119,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40, salt_rows: int
     e = materialised(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    salt = F.pmod(F.xxhash64("v"), F.lit(max(64, e.count() // salt_rows + 1)))
+    salt = F.pmod(F.xxhash64("v"), F.lit(salts_for(e.count(), salt_rows)))
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node is linked to the smallest of its neighbourhood
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("salt", salt)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, lean, materialised, text_bytes
+from ._common import connected_components, lean, materialised, salts_for, spread_join, text_bytes
 from ._text import U, Words, flat, mix, pieces
 
 LOW = 40
@@ -212,7 +212,7 @@ def _products(num: int, den: int):
     return run
 
 
-def _dealt(rows: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
+def _dealt(rows: DataFrame, clusters: DataFrame, block: int, spread: int) -> DataFrame:
     """rows for the products: a small cluster is one group; a large one is cut by size class and salt into pairs."""
     sized = clusters.join(rows.select(F.col("doc_id").alias("node"), "n_shingles"), "node").withColumn(
         "class", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(4 / 3)) + 1e-9)
@@ -223,14 +223,14 @@ def _dealt(rows: DataFrame, clusters: DataFrame, block: int) -> DataFrame:
     above = per.select("component", (F.col("class") - 1).alias("class"), F.col("salts").alias("up"))
     below = per.select("component", (F.col("class") + 1).alias("class"), F.col("salts").alias("down"))
     plan = per.join(total, "component").join(above, ["component", "class"], "left").join(below, ["component", "class"], "left")
-    placed = sized.join(plan, ["component", "class"]).withColumn("salt", F.expr("cast(pmod(xxhash64(node), salts) as int)"))
+    placed = spread_join(sized, plan, ["component", "class"], "node", spread).withColumn("salt", F.expr("cast(pmod(xxhash64(node), salts) as int)"))
     name = "concat_ws(':', component, {}, {}, {}, {})"
     meets = f"""case when total <= {block} then array(struct(string(component) as group, 0 as side)) else concat(
         transform(sequence(0, salts - 1), t -> struct({name.format('class', 'least(salt, t)', 'class', 'greatest(salt, t)')} as group, int(salt > t) as side)),
         case when up is null then array() else transform(sequence(0, up - 1), t -> struct({name.format('class', 'salt', 'class + 1', 't')} as group, 0 as side)) end,
         case when down is null then array() else transform(sequence(0, down - 1), t -> struct({name.format('class - 1', 't', 'class', 'salt')} as group, 1 as side)) end) end"""
-    spread = placed.select("node", F.explode(F.expr(meets)).alias("x")).select(F.col("node").alias("doc_id"), "x.group", "x.side")
-    return spread.join(rows.select("doc_id", "n_shingles", "keys"), "doc_id")
+    grouped = placed.select("node", F.explode(F.expr(meets)).alias("x")).select(F.col("node").alias("doc_id"), "x.group", "x.side")
+    return grouped.join(rows.select("doc_id", "n_shingles", "keys"), "doc_id")
 
 
 def components(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, block: int = 256) -> DataFrame:
@@ -249,14 +249,15 @@ def components(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, b
     )
     alive = rows.where("keys is not null")
     same = alive.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = alive.select("doc_id", "f1", "f2", "n_shingles").join(same.where("copies > 1").drop("copies"), ["f1", "f2", "n_shingles"])
+    salts = salts_for(rows.count())
+    copies = spread_join(alive.select("doc_id", "f1", "f2", "n_shingles"), same.where("copies > 1").drop("copies"), ["f1", "f2", "n_shingles"], "doc_id", salts)
     copies = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     reps = alive.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "keys")
     index = reps.mapInArrow(lean(_prefixes(num, den)), "key long, doc_id long")
     hubs = index.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
     stars = index.join(hubs.select("key", "hub"), "key").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     clusters = materialised(connected_components(stars))
-    dealt = _dealt(reps, clusters, block).withColumn("task", F.expr(f"case when instr(`group`, ':') > 0 then `group` else string(pmod(xxhash64(`group`), {4 * buckets})) end"))
+    dealt = _dealt(reps, clusters, block, salts).withColumn("task", F.expr(f"case when instr(`group`, ':') > 0 then `group` else string(pmod(xxhash64(`group`), {4 * buckets})) end"))
     links = dealt.groupBy("task").applyInArrow(lean(_products(num, den)), "a long, b long")
     found = connected_components(links.unionByName(copies))
     return rows.join(found, rows.doc_id == found.node, "left").select(
@@ -282,5 +283,5 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     linked = linked.unionByName(linked.select(F.col("to").alias("_row"), "to").distinct())
     placed = linked.join(keyed.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("place")), "_row")
     first = placed.groupBy("to").agg(F.min("place").alias("kept"))
-    lost = placed.join(first, "to").where("_row <> kept._row").select("_row")
+    lost = spread_join(placed, first, ["to"], "_row", salts_for(linked.count())).where("_row <> kept._row").select("_row")
     return keyed.join(lost, "_row", "left_anti").drop("_row")
