@@ -49,6 +49,8 @@ def _terms(rows: DataFrame, place: list[str]) -> DataFrame:
 
 
 _CLAIM, _SOURCE = ["_key", "response_id", "claim_idx"], ["_key", "source_pos"]
+#: Sums over joined terms come in any order, so their last bits differ from run to run; those decide no type and no rank.
+_TFIDF = "round(coalesce(try_divide(_dot, _lc * _ls), 0D), 12)"
 
 
 def _products(c: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -159,7 +161,7 @@ def score(claims: DataFrame, sources: DataFrame, options: CiteOptions = CiteOpti
     pairs = _candidates(c, s, found, options).join(left, ["response_id", "claim_idx"]).join(c_norms, ["response_id", "claim_idx"], "left")
     pairs = pairs.join(right.join(s_norms, _SOURCE, "left"), _SOURCE)
     pairs = pairs.withColumns({k: F.expr(v) for k, v in overlaps_of("c", "s").items()})
-    pairs = pairs.withColumn("ngram", F.expr(ngram_overlap_of("c", "s"))).withColumn("tfidf", F.expr("coalesce(try_divide(_dot, _lc * _ls), 0D)"))
+    pairs = pairs.withColumn("ngram", F.expr(ngram_overlap_of("c", "s"))).withColumn("tfidf", F.expr(_TFIDF))
     if options.embedder:
         pairs = pairs.join(_embedded(claims, "text", options.embedder).withColumnRenamed("_embedding", "_claim"), "text", "left")
         made = _embedded(s.where("_given is null"), "content", options.embedder).withColumnRenamed("_embedding", "_made")

@@ -211,3 +211,12 @@ def test_many_sources_keep_the_fifty_that_share_most(spark):
     s = spark.createDataFrame([(1, k, ["a"] * (k % 7) + ["z"]) for k in range(1, 71)], "response_id long, source_pos int, tokens array<string>")
     got = sorted((r.source_pos, r.shared) for r in attribution.candidates(c, s, CiteOptions()).collect())
     assert got == sorted(sorted(((k, k % 7) for k in range(1, 71)), key=lambda x: (-x[1], x[0]))[:50])
+
+
+def test_equal_texts_have_a_tfidf_of_one_in_any_order_of_sums(spark):
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice("abcdefgh") + str(draw.randrange(300)) for _ in range(60)) + "." for _ in range(40)]
+    r = spark.createDataFrame([(i, i % 4, t) for i, t in enumerate(texts)], "response_id long, corpus_id long, response string")
+    s = spark.createDataFrame([(i % 4, i // 4, str(i), t) for i, t in enumerate(texts)], "corpus_id long, source_pos long, source_id string, content string")
+    rows = cite(r, s).attributions.where("source_id = string(response_id)").collect()
+    assert {(x.exact, x.tfidf, x.primary_match_type, x["rank"]) for x in rows} == {(1.0, 1.0, "exact", 1)} and len(rows) == 40
