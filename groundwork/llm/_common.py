@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import inspect
 import sys
 import tempfile
@@ -38,6 +39,13 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(spark: SparkSession) -> None:
+    """The driver's garbage goes now: plans that are done and, with them, their shuffles and checkpoints, which Spark
+    keeps until the driver happens to collect. Else its heap grows to its limit while many short jobs run."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def worker_cache(name: str, make):
     """A value that lives as long as the Python worker, over many tasks. It only saves time."""
     store = sys.__dict__.setdefault("_groundwork_cache", {})
@@ -109,6 +117,29 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, sa
     return salted.join(held, [*keys, "_salt"]).drop("_salt")
 
 
+def _starred(e: DataFrame, salt) -> DataFrame:
+    """The edges of e(u, v), u > v, after a round of large star and small star."""
+    # large star: every larger neighbour of a node is linked to the smallest of its neighbourhood
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("salt", salt)
+    salts = both.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    low = salts.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = salts.select("u", "salt").join(low, "u")
+    large = both.where("v > u").join(low, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = large.where("u <> v").distinct()
+    # small star: every smaller neighbour, and the node, is linked to the smallest of them
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return materialised(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+
+
+def _settled(e: DataFrame) -> bool:
+    """Whether the edges are stars, each node under its component: none has two smaller neighbours, or one of each kind."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.agg(F.max(F.expr("up > 1 or up > 0 and down > 0")).alias("open")).first()["open"]
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40, salt_rows: int = 65536) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
@@ -116,29 +147,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 40, salt_rows: int
     one for each `salt_rows` edges, and a salt takes the node's minimum from the salts' minima, so a hub is a row a salt
     wherever rows meet by node. Each round's edges are checkpointed. No edge or label ever reaches the driver.
     """
+    spark = edges.sparkSession
     e = materialised(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     salt = F.pmod(F.xxhash64("v"), F.lit(salts_for(e.count(), salt_rows)))
     for _ in range(max_rounds):
-        # large star: every larger neighbour of a node is linked to the smallest of its neighbourhood
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("salt", salt)
-        salts = both.groupBy("u", "salt").agg(F.min("v").alias("m"))
-        low = salts.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
-        low = salts.select("u", "salt").join(low, "u")
-        large = both.where("v > u").join(low, ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # small star: every smaller neighbour, and the node, is linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        new = materialised(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        # a fixed point: the edges are stars, each node under its component
-        if new.join(new.select(F.col("v").alias("w")).distinct(), new.u == F.col("w"), "left_semi").isEmpty() and (
-            new.groupBy("u").count().where("count > 1").isEmpty()
-        ):
-            e = new
+        e = _starred(e, salt)
+        forget(spark)
+        if _settled(e):
             break
-        e = new
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

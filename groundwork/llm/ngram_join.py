@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, lean, materialised, salts_for, spread_join, text_bytes
+from ._common import connected_components, forget, lean, materialised, salts_for, spread_join, text_bytes
 from ._text import U, Words, flat, mix, pieces
 
 LOW = 40
@@ -247,6 +247,7 @@ def components(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, b
     rows = materialised(
         sent.groupBy("dest").applyInArrow(lean(_shared), _SENT).groupBy("block").applyInArrow(lean(_gathered(num, den)), _ROWS)
     )
+    forget(docs.sparkSession)
     alive = rows.where("keys is not null")
     same = alive.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     salts = salts_for(rows.count())
