@@ -8,6 +8,7 @@ import sys
 import tempfile
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,30 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back_driver(spark: SparkSession) -> None:
+    """What the driver's JVM has freed outside its heap goes back to the system, where its JVM has a command for that.
+
+    Hundreds of threads plan, broadcast and listen; the C library keeps what each of them has freed. Live memory and
+    the heap are not touched.
+    """
+    lang, array = spark._jvm.java.lang, spark.sparkContext._gateway.new_array
+    call = array(lang.Object, 4)
+    call[0] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    call[1], call[2], call[3] = "systemTrimNativeHeap", array(lang.Object, 0), array(lang.String, 0)
+    try:  # by the public interface: the server's own class is closed to reflection
+        methods = lang.Class.forName("javax.management.MBeanServer").getMethods()
+        invoke = next(m for m in methods if m.getName() == "invoke")
+        invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), call)
+    except Py4JJavaError:  # other kinds of JVM, and systems with another C library, keep it
+        pass
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df written once to the shared folder; its lineage is cut, so a lost executor costs nothing that was done."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    give_back_driver(df.sparkSession)
+    return out
 
 
 def worker_cache(name: str, make):

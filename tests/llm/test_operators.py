@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from groundwork.llm import ann_forest, ctw, neardup_graph, ngram_join, packing, pii, secrets, sentencepiece_ac, toxicity, warc
-from groundwork.llm._common import connected_components
+from groundwork.llm._common import connected_components, materialised
 from groundwork.llm._text import U, index
 
 BASE = [f"word{i} alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron number{i}" for i in range(4)]
@@ -487,3 +487,21 @@ def test_components_with_hubs(spark):
     want = {x: root(x) for a, b in pairs if a != b for x in (a, b)}
     got = connected_components(spark.createDataFrame(pairs, "a long, b long"), salt_rows=32).collect()
     assert len(got) == len(want) and {x.node: x.component for x in got} == want
+
+
+def test_checkpoints_give_back_what_the_driver_has_freed(spark):
+    jvm = spark._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status"
+
+    def resident():
+        return int(re.search(r"VmRSS:\s+(\d+)", open(status).read())[1]) / 1024
+
+    rows = spark.range(10).toDF("id")
+    materialised(rows)
+    before = resident()
+    held = [jvm.java.util.zip.Deflater() for _ in range(1600)]
+    for d in held[:-1]:
+        d.end()
+    freed = resident()
+    assert freed > before + 100 and materialised(rows).count() == 10
+    assert resident() < freed - 0.5 * (freed - before)
