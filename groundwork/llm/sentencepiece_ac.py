@@ -72,6 +72,11 @@ class Viterbi:
                 self.score_of[p] = s
         self.automaton.make_automaton()
         self.penalty = min(self.score_of.values(), default=0.0) - 10.0
+        self.sizes = [len(p) for p in self.text]
+        # of each id its bytes, and what it adds to a score: of a character in byte pieces the first one counts
+        self.raw, self.weights = [p.encode() for p in self.text], np.array(self.scores, float)
+        for x, i in enumerate(range(bytes_at, min(bytes_at + 256, len(pieces)))):
+            self.raw[i], self.weights[i] = bytes([x]), 0.0 if x & 0xC0 == 0x80 else self.penalty
         self.cache, self.pairs = BoundedCache(_CACHE), BoundedCache(_PAIRS)
         if kind == "bpe" and any(c not in self.score_of for p in self.score_of for c in p):
             raise ValueError("a character of some pieces is no piece")
@@ -90,8 +95,8 @@ class Viterbi:
         plain = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in ids]
         return cls([(sp.id_to_piece(i), sp.get_score(i)) for i in ids], sp.piece_to_id("<0x00>"), plain, kind)
 
-    def by_scores(self, text: str) -> tuple[list[int], float]:
-        """Ids and score of the segmentation of a text in marks with the best sum of scores."""
+    def by_scores(self, text: str) -> list[int]:
+        """Ids of the segmentation of a text in marks with the best sum of scores."""
         n = len(text)
         best, back = [0.0] + [float("-inf")] * n, [None] * (n + 1)
         done = 0
@@ -115,7 +120,7 @@ class Viterbi:
             b, i = back[e]
             out.append([i] if i >= 0 else [self.bytes_at + x for x in text[b:e].encode()])
             e = b
-        return [i for part in reversed(out) for i in part], best[n]
+        return [i for part in reversed(out) for i in part]
 
     def stands(self, before: str, piece: str) -> bool:
         """Whether two pieces stay apart and whole when the adjacent pair of the best score in their string, the first
@@ -139,9 +144,39 @@ class Viterbi:
                 scores[k] = score_of.get(parts[k] + parts[k + 1], none)
         return len(parts) == 1 + bool(before)
 
-    def by_merges(self, text: str) -> tuple[list[int], float]:
-        """Ids of the text in the order of merges, and the sum of their scores."""
-        n, pairs, names = len(text), self.pairs, self.text
+    def by_merges(self, text: str) -> list[int]:
+        """Ids of the text in the order of merges."""
+        get, last, settled = self.pairs.get, [-1] + [-2] * len(text), -1  # last: of each place, the piece up to it
+        for end, (length, i, _) in self.automaton.iter(text):
+            if end == settled:
+                continue
+            before = last[end + 1 - length]
+            if before == -2:
+                return self.with_gaps(text)
+            ok = get((before << 32) | i)
+            if ok is None:
+                ok = self.learnt(before, i)
+            if ok:
+                last[end + 1], settled = i, end
+        out, e, sizes = [], len(text), self.sizes
+        if last[e] == -2:
+            return self.with_gaps(text)
+        while e:
+            i = last[e]
+            out.append(i)
+            e -= sizes[i]
+        out.reverse()
+        return out
+
+    def learnt(self, before: int, i: int) -> bool:
+        """Whether piece i stands after piece `before`, -1 at a start; it is kept."""
+        ok = self.stands(self.text[before] if before >= 0 else "", self.text[i])
+        self.pairs.put((before << 32) | i, ok, 40)
+        return ok
+
+    def with_gaps(self, text: str) -> list[int]:
+        """by_merges of a text with characters that no piece holds."""
+        n, get = len(text), self.pairs.get
         start, last = [-1] * (n + 1), [-1] * (n + 1)  # of the last piece up to each place: its begin and id
         done = start[0] = 0
         for end, (length, i, _) in self.automaton.iter(text):
@@ -156,57 +191,53 @@ class Viterbi:
             if start[begin] < 0:
                 continue
             before = last[begin]
-            key = (before << 32) | i
-            ok = pairs.get(key)
+            ok = get((before << 32) | i)
             if ok is None:
-                ok = self.stands(names[before] if before >= 0 else "", names[i])
-                pairs.put(key, ok, 40)
+                ok = self.learnt(before, i)
             if ok:
                 start[end], last[end] = begin, i
         while done < n:
             done += 1
             if start[done] < 0:
                 start[done] = done - 1
-        out, score, e, scores = [], 0.0, n, self.scores
+        out, e = [], n
         while e:
             i = last[e]
             if i >= 0:
                 out.append(i)
-                score += scores[i]
             else:
                 out += [self.bytes_at + x for x in reversed(text[start[e] : e].encode())]
-                score += self.penalty
             e = start[e]
         out.reverse()
-        return out, score
+        return out
 
     def encode(self, text: str) -> tuple[bytes, float, int]:
         """Little-endian unsigned 32-bit ids, score, and how many ids are byte pieces."""
         if not text:
             return b"", 0.0, 0
-        marked = SPACE + text.replace(" ", SPACE)
-        ids, score, fallback, cache = [], 0.0, 0, self.cache
-        for part in _SEGMENT.findall(marked):
-            found = cache.get(part)
-            if found is None:
-                own, s = self.segment(part)
-                low, high = self.bytes_at, self.bytes_at + 256
-                found = (struct.pack(f"<{len(own)}I", *own), s, sum(low <= i < high for i in own) if min(own) < high else 0)
-                if len(part) <= _LONG:
-                    cache.put(part, found, 2 * len(part) + len(found[0]) + 150)
-            ids.append(found[0])
-            score += found[1]
-            fallback += found[2]
-        return b"".join(ids), score, fallback
+        if "  " in text or SPACE in text or text[0] == " ":  # a segment's key lacks its first mark
+            keys = [part[1:] for part in _SEGMENT.findall(SPACE + text.replace(" ", SPACE))]
+        else:
+            keys = text.split(" ")
+        cache = self.cache
+        found = list(map(cache.get, keys))
+        for k, part in enumerate(found):
+            if part is None:
+                key = keys[k]
+                part = cache.get(key)
+                if part is None:
+                    own = self.segment(SPACE + key)
+                    part = struct.pack(f"<{len(own)}I", *own)
+                    if len(key) < _LONG:
+                        cache.put(key, part, 2 * len(key) + len(part) + 110)
+                found[k] = part
+        out = b"".join(found)
+        ids = np.frombuffer(out, "<u4")
+        return out, float(self.weights[ids].sum()), int(np.count_nonzero((ids >= self.bytes_at) & (ids < self.bytes_at + 256)))
 
     def decode(self, ids) -> str:
         """The text of ids; the mark that encoding put in front goes, other marks are spaces."""
-        low, high, text = self.bytes_at, self.bytes_at + 256, self.text
-        ids = np.asarray(ids).tolist()
-        if any(low <= i < high for i in ids):
-            whole = b"".join(bytes([i - low]) if low <= i < high else text[i].encode() for i in ids).decode("utf-8", "replace")
-        else:
-            whole = "".join([text[i] for i in ids])
+        whole = b"".join(map(self.raw.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")
         return whole.replace(SPACE, " ")[1:] if whole.startswith(SPACE) else whole.replace(SPACE, " ")
 
     def forget(self):

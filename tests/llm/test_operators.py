@@ -405,6 +405,21 @@ def test_sentencepiece_equals_the_library(spark, docs):
     assert sentencepiece_ac.digest(docs.where("false")).count() == 0
 
 
+def test_sentencepiece_known_words_take_no_step_of_their_own():
+    import sys
+
+    v = sentencepiece_ac.model()
+    text = " ".join(f"word{i % 50} é\u0378" for i in range(2000))
+    ids, score, n_bytes = v.encode(text)
+    made, steps = np.frombuffer(ids, "<u4"), []
+    sys.setprofile(lambda frame, event, what: steps.append(event))
+    again, back = v.encode(text), v.decode(made)
+    sys.setprofile(None)
+    assert again == (ids, score, n_bytes) and back == text and len(steps) < 200
+    assert n_bytes == 4000 and score == sum(v.scores[i] for i in made.tolist() if not v.bytes_at <= i < v.bytes_at + 256) + 2000 * v.penalty
+    v.forget()
+
+
 def test_warc(spark, tmp_path):
     body = "<p>" + "é" * 100
     pages = [(4, "http://a", body), (2, "http://b", body), (9, None, body), (1, "u", "short"), (3, "u", "short"), (5, "u", None), (6, "u", ""), (None, "u", body)]
