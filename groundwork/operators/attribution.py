@@ -69,11 +69,12 @@ def _products(c: DataFrame, s: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
 
 
 def _candidates(c: DataFrame, s: DataFrame, found: DataFrame, options: CiteOptions) -> DataFrame:
-    """(_key, response_id, claim_idx, source_pos, shared, _dot): all pairs of a key, or, with too many sources, the 50
-    that share most tokens (counted with the source's repeats), ties to earlier sources. Ids and numbers only."""
+    """(_key, response_id, claim_idx, source_pos, shared, _dot): all pairs of a key, or, with more sources than the options
+    allow, the 50 that share most tokens (counted with the source's repeats), ties to earlier sources. Where the options
+    set no limit, every pair stays. Ids and numbers only."""
     many = s.groupBy("_key").agg(F.count("*").alias("_sources"))
     pairs = c.select(*_CLAIM).join(many, "_key").join(s.select(*_SOURCE), "_key").join(found, ["response_id", "claim_idx", "source_pos"], "left")
-    limit = int(options.max_sources_per_claim) if options.attribution_threshold > 0 else None
+    limit = options.max_sources_per_claim if options.attribution_threshold > 0 else None
     shared = F.lit(0) if limit is None else F.expr(f"case when _sources > {limit} then coalesce(_shared, 0) else 0 end")
     pairs = pairs.withColumn("shared", shared.cast("long")).withColumn("_dot", F.coalesce("_dot", F.lit(0.0)))
     if limit is not None:
@@ -171,6 +172,8 @@ def score(claims: DataFrame, sources: DataFrame, options: CiteOptions = CiteOpti
     else:
         pairs = pairs.withColumn("embedding", F.lit(0.0))
     pairs = pairs.select("response_id", "claim_idx", "source_pos", "source_id", "shared", "ngram", "tfidf", "embedding", "c_norm", "s_norm", "content")
+    if options.max_sources_per_claim is None:  # the joins leave a claim's pairs scattered; its windows are tried together
+        pairs = pairs.repartition("response_id", "claim_idx").sortWithinPartitions("response_id", "claim_idx")
     fields = [f for f in pairs.schema.fields if f.name not in ("c_norm", "s_norm", "content")]
     extra = [T.StructField(n, t) for n, t in (("exact", T.DoubleType()), ("fuzzy", T.DoubleType()), ("match_evidence", T.StringType()), ("_start", T.LongType()), ("_end", T.LongType()))]
     matched = pairs.mapInArrow(_matches, T.StructType(fields + extra))

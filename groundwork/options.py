@@ -39,7 +39,8 @@ class CiteOptions:
     source_map: dict | None = None
     citation_patterns: tuple[CitationPattern, ...] = ()
     stopwords: tuple[str, ...] = tuple(STOPWORDS)
-    max_sources_per_claim: int = 50
+    #: A claim with more sources is scored against the 50 that share most of its tokens; None: against all, however many.
+    max_sources_per_claim: int | None = 50
     embedder: Callable[[list[str]], list[list[float]]] | None = None
 
     def resolved_weights(self) -> dict:

@@ -12,6 +12,7 @@ from .. import engine
 from ..functions import text as X
 from ..operators import attribution, citations, claims, verification
 from ..operators.claims import ABBREVIATIONS
+from ..options import CiteOptions
 from ..sources.tables import passage_responses, passage_sources, table
 from .catalogue import _GRAMS, _JACCARD, _KEPT, _NORM, _query, _ranked
 
@@ -116,8 +117,12 @@ _CHECKED = f"""
     response AS (SELECT *, CASE WHEN accuracy IS NULL THEN (0.35::DOUBLE * grounding + 0.15::DOUBLE * coverage + 0.2::DOUBLE * faithfulness) / 0.7::DOUBLE ELSE 0.35::DOUBLE * grounding + 0.15::DOUBLE * coverage + 0.2::DOUBLE * faithfulness + 0.3::DOUBLE * accuracy END AS quality FROM rates)"""
 
 
+#: The queries score every pair of a claim and a passage of its corpus, as their SQL does.
+_ALL = CiteOptions(max_sources_per_claim=None)
+
+
 def _report(spark, sf_dir) -> engine.CitationReport:
-    return engine.cite(passage_responses(spark, sf_dir), passage_sources(spark, sf_dir))
+    return engine.cite(passage_responses(spark, sf_dir), passage_sources(spark, sf_dir), _ALL)
 
 
 @_query(f"""WITH {_BOTH}, {_SCORED} SELECT response_id, claim_idx, source_pos, round(exact, 6) AS exact, round(fuzzy, 6) AS fuzzy, round(ngram, 6) AS ngram, round(tfidf, 6) AS tfidf, 0::DOUBLE AS embedding, round(confidence, 6) AS confidence,
@@ -177,7 +182,7 @@ def faulty_citations(spark, sf_dir):
     made AS (SELECT response_id, string_agg(substr(response, before + 1, place - before) || ' [' || primary_id || ']', '' ORDER BY place, claim_idx) AS head, max(place) AS last, count(*) AS n FROM ordered GROUP BY response_id)
     SELECT r.response_id, coalesce(head || substr(response, last + 1), response) AS text, coalesce(n, 0) AS n_inserted FROM r LEFT JOIN made ON made.response_id = r.response_id""")
 def annotate_response(spark, sf_dir):
-    annotated, _ = engine.attribute(passage_responses(spark, sf_dir), passage_sources(spark, sf_dir))
+    annotated, _ = engine.attribute(passage_responses(spark, sf_dir), passage_sources(spark, sf_dir), _ALL)
     return annotated.select("response_id", "text", F.size("inserted").cast("long").alias("n_inserted"))
 
 
